@@ -44,14 +44,14 @@ def slices(batch: pa.RecordBatch, text_col: str, limit: int = 16 << 20) -> Itera
     yield from slices(batch.slice(half), text_col, limit)
 
 
-def scan(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict | None], schema: str, text_col: str = "text") -> DataFrame:
+def scan(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict | None], schema: str, text_col: str = "text", limit: int = 16 << 20) -> DataFrame:
     """One narrow pass: only ``columns`` are read; ``fn`` gets batches and returns columns in the order of ``schema``."""
     ship(df.sparkSession)
     target = spark_to_arrow(schema)
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, limit):
                 if part.num_rows and (out := fn(part)) is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in target], schema=target)
 

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridlark.llm.decontaminate import op10_decontaminate
+from gridlark.llm.token_counts import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {}
