@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from gridlark.llm.decontaminate import op10_decontaminate
 from gridlark.llm.token_counts import op2_token_counts
 from gridlark.llm.token_files import op6_token_files
+from gridlark.llm.warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op6_token_files": op6_token_files,
+    "op9_warc": op9_warc,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {}
