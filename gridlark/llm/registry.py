@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridlark.llm.decontaminate import op10_decontaminate
+from gridlark.llm.quality import op1_quality
+from gridlark.llm.secrets import op7_secrets
 from gridlark.llm.token_counts import op2_token_counts
 from gridlark.llm.token_files import op6_token_files
 from gridlark.llm.warc import op9_warc
@@ -15,6 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op6_token_files": op6_token_files,
     "op9_warc": op9_warc,
+    "op1_quality": op1_quality,
+    "op7_secrets": op7_secrets,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {}
