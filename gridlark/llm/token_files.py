@@ -20,6 +20,7 @@ the same doc_id lie side by side, by text; an empty table makes no files. Other
 from __future__ import annotations
 
 import json
+import struct
 import zlib
 
 import numpy as np
@@ -44,37 +45,31 @@ def open_store(uri: str):
 
 
 class _Pieces(dict):
-    """Piece to its ids as bytes; what is missing is encoded by the library's model."""
+    """Piece to its ids as bytes; what is missing is encoded by the library's model.
 
-    BOUND = 500_000
+    Two generations: a full dictionary becomes the old one, and what is asked for again moves on.
+    """
+
+    BOUND = 400_000
 
     def __init__(self, encoder: Encoder, space: bool):
         super().__init__()
-        self.encoder, self.space = encoder, space
+        self.encoder, self.space, self.old = encoder, space, {}
 
     def __missing__(self, piece: str) -> bytes:
+        out = self.old.get(piece)
+        if out is None:
+            e = self.encoder
+            split = e.file.pre_tokens(piece, self.space)
+            # a pre-token with its space is a piece of its own
+            out = e.token_bytes(split[0]) if len(split) == 1 else b"".join([e.tail[t[1:]] if t[0] == " " and len(t) > 1 else e.head[t] for t in split])
         if len(self) >= self.BOUND:
+            self.old = dict(self)
             self.clear()
-        e = self.encoder
-        out = b"".join(e.ids[t] for t in e.file.pre_tokens(piece, self.space))
         self[piece] = out
         return out
 
 
-class _PreTokens(dict):
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, pre_token: str) -> bytes:
-        if len(self) >= _Pieces.BOUND:
-            self.clear()
-        e = self.encoder
-        out = np.array([t.id for t in e.model.tokenize(e.file.spelled(pre_token))], e.dtype).tobytes()
-        self[pre_token] = out
-        return out
-
-
 class Encoder:
     """Texts to id bytes with a vocabulary file of the tokenizers library."""
 
@@ -82,8 +77,12 @@ class Encoder:
         self.file = BytePairFile(path)
         self.model = self.file.library.model
         self.dtype = np.dtype("<u2" if self.file.size <= 1 << 16 else "<u4")
-        self.ids = _PreTokens(self)
         self.head, self.tail = _Pieces(self, False), _Pieces(self, True)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+
+    def token_bytes(self, pre_token: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(self.file.spelled(pre_token))]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def encode(self, text: str) -> bytes:
         sections, special = self.file.sections(text)

@@ -9,11 +9,24 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 
 #: A space with white space on both sides, or at the end after white space: no cut there.
 _ODD = re.compile(r"\s (?:\s|\Z)")
 _CUT = re.compile(r"(?<!\s) | (?=\S)")
-_MARKS = ".,:;!?"
+#: Below this character the library's pattern is spelled out with its own character classes.
+_LATIN_END = "\u0250"
+
+
+def _latin_pattern() -> re.Pattern:
+    """The byte-level split pattern over characters below ``_LATIN_END``."""
+    chars = [chr(c) for c in range(ord(_LATIN_END))]
+    pick = lambda kind: "".join(map(re.escape, (c for c in chars if unicodedata.category(c)[0] == kind)))
+    letter, number, space = pick("L"), pick("N"), "\t\n\x0b\x0c\r \x85\xa0"
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
+_LATIN = _latin_pattern()
 
 
 def pieces(text: str) -> list[str]:
@@ -57,15 +70,14 @@ class BytePairFile:
     def pre_tokens(self, piece: str, space: bool) -> list[str]:
         """The piece as the library's pre-tokenizer splits it."""
         whole = f" {piece}" if space else piece
-        if piece and max(piece) < "ɐ":
-            if piece.isalpha():
-                return [whole]
-            if piece[-1] in _MARKS and piece[:-1].isalpha():
-                return [whole[:-1], whole[-1]]
+        if piece.isascii() or max(piece) < _LATIN_END:
+            return [whole] if piece.isalpha() else _LATIN.findall(whole)
         return [whole[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(whole)] if whole else []
 
     def spelled(self, pre_token: str) -> str:
         """The pre-token in the vocabulary's byte alphabet."""
+        if pre_token.isascii() and pre_token.isalpha():
+            return pre_token
         return pre_token.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._map)
 
 
