@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridlark.llm.decontaminate import op10_decontaminate
+from gridlark.llm.mixing import MIX_SQL, op3_mixing
+from gridlark.llm.near_dedup import op4_near_dedup
 from gridlark.llm.quality import op1_quality
 from gridlark.llm.secrets import op7_secrets
 from gridlark.llm.token_counts import op2_token_counts
@@ -19,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op1_quality": op1_quality,
     "op7_secrets": op7_secrets,
+    "op3_mixing": op3_mixing,
+    "op4_near_dedup": op4_near_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": MIX_SQL}
