@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridlark.llm.decontaminate import op10_decontaminate
+from gridlark.llm.line_dedup import op5_line_dedup
 from gridlark.llm.mixing import MIX_SQL, op3_mixing
 from gridlark.llm.near_dedup import op4_near_dedup
 from gridlark.llm.quality import op1_quality
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secrets": op7_secrets,
     "op3_mixing": op3_mixing,
     "op4_near_dedup": op4_near_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {"op3_mixing": MIX_SQL}
