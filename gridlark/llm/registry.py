@@ -10,6 +10,7 @@ from gridlark.llm.decontaminate import op10_decontaminate
 from gridlark.llm.line_dedup import op5_line_dedup
 from gridlark.llm.mixing import MIX_SQL, op3_mixing
 from gridlark.llm.near_dedup import op4_near_dedup
+from gridlark.llm.pii import op8_pii
 from gridlark.llm.quality import op1_quality
 from gridlark.llm.secrets import op7_secrets
 from gridlark.llm.token_counts import op2_token_counts
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_near_dedup": op4_near_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op8_pii": op8_pii,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {"op3_mixing": MIX_SQL}
