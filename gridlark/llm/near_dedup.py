@@ -31,7 +31,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import scan, shared_dir, ship, table, written
@@ -39,6 +38,8 @@ from gridlark.llm.components import components
 
 BANDS, ROWS = 30, 6
 SLOTS = BANDS * ROWS
+HISTOGRAM = 1 << 18
+MAX_BROADCAST = 1_000_000
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -111,70 +112,96 @@ def band_keys(value: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys."""
+    """doc_id, n_shingles, digest of the set, band keys, one byte of each slot."""
 
     def run(batch):
         sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
-        full = [s for s in sets if len(s)]
-        bands = iter(band_keys(signatures(full)))
+        value = signatures([s for s in sets if len(s)])
+        bands, short = iter(band_keys(value)), iter(mix(value.view(np.uint64)).astype(np.uint8))
         return {
             "doc_id": batch.column(0),
             "n_shingles": [len(s) for s in sets],
             "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
             "bands": [next(bands) if len(s) else [] for s in sets],
+            "short": [next(short).tobytes() if len(s) else None for s in sets],
         }
 
-    return scan(docs, ["doc_id", "text"], run, "doc_id long,n_shingles long,digest binary,bands array<long>", limit=1 << 20)
+    return scan(docs, ["doc_id", "text"], run, "doc_id long,n_shingles long,digest binary,bands array<long>,short binary", limit=1 << 20)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, folder: str, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ship(docs.sparkSession)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    one = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, shingles) of the documents named by ``ids``, from whole texts. Ids are broadcast behind a check of their number."""
+    wanted = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
+    one = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
 
     def sets(batch):
         return {"doc_id": batch.column(0), "shingles": [shingle_set(t, size).tobytes() for t in batch.column(1).to_pylist()]}
 
-    held = written(scan(one, ["doc_id", "text"], sets, "doc_id long,shingles binary", limit=4 << 20), f"{name}-sets", folder)
-    joined = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    return scan(one, ["doc_id", "text"], sets, "doc_id long,shingles binary", limit=4 << 20)
+
+
+def _pairs_where(pairs: DataFrame, values: DataFrame, good) -> DataFrame:
+    """The pairs (a, b) for which ``good(value of a, value of b)``, on NumPy-ready buffers."""
+    ship(pairs.sparkSession)
+    name = values.columns[1]
+    joined = pairs.join(values.select(F.col("doc_id").alias("a"), F.col(name).alias("va")), "a").join(values.select(F.col("doc_id").alias("b"), F.col(name).alias("vb")), "b")
 
     def check(batches):
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if len(x) > len(y):
-                    x, y = y, x
-                # the larger one bounds the union
-                if 100 * len(x) < percent * len(y):
-                    good.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return written(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), f"{name}-links", folder)
+            keep = [good(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.select("a", "b", "va", "vb").mapInArrow(check, "a long, b long").distinct()
+
+
+def likely(pairs: DataFrame, shorts: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures agree often enough: six standard deviations below the threshold, so a link is lost once in 10^9."""
+    p = percent / 100
+    least = SLOTS * (p - 6 * (p * (1 - p) / SLOTS) ** 0.5)
+
+    def good(x, y):
+        return int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= least
+
+    return _pairs_where(pairs, shorts, good)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+
+    def good(x, y):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        if len(x) > len(y):
+            x, y = y, x
+        # the larger set bounds the union
+        if 100 * len(x) < percent * len(y):
+            return False
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        both = int((y[at] == x).sum())
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    return _pairs_where(pairs, sets, good)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable), kept, class_id."""
     folder = shared_dir(docs.sparkSession)
     known = written(sketch(docs, size), "sketch", folder)
-    classes = written(known.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("n")), "classes", folder)
-    reps = known.select("doc_id", F.explode("bands").alias("key")).join(classes.select(F.col("class_id").alias("doc_id"), "n"), "doc_id")
-    buckets = reps.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("top")).where("pivot < top").select("key", "pivot")
-    members = written(reps.join(buckets, "key").select("key", "pivot", "doc_id", "n").distinct(), "members", folder)
+    classes = written(known.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes", folder)
+    reps = known.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").where("digest is not null")
+    entries = reps.select("doc_id", F.explode("bands").alias("key"))
+    buckets = entries.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("top")).where("pivot < top").select("key", "pivot")
+    members = written(entries.join(buckets, "key").distinct(), "members", folder)
+    ids = written(members.select("doc_id").distinct(), "member-ids", folder)
+    sets = written(shingle_sets(docs, ids, size), "sets", folder)
+    shorts = reps.select("doc_id", "short")
 
     stars = members.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = written(stars, "stars", folder)
-    links = verified(docs, stars, size, percent, folder, "stars")
+    stars = written(likely(stars, shorts, percent), "stars", folder)
+    links = written(verified(stars, sets, percent), "star-links", folder)
     found = components(links)
 
-    more = _across(docs, members, found, size, percent, folder).join(stars, ["a", "b"], "left_anti")
-    more = written(more, "across", folder)
-    links = links.union(verified(docs, more, size, percent, folder, "across"))
+    more = written(likely(_across(members, found, sets, percent, folder).join(stars, ["a", "b"], "left_anti"), shorts, percent), "across", folder)
+    links = links.union(written(verified(more, sets, percent), "across-links", folder))
     found = written(components(links), "components", folder)
 
     named = known.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "class_id"), "digest", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
@@ -183,36 +210,54 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class_id")
 
 
-def _across(docs: DataFrame, members: DataFrame, found: DataFrame, size: int, percent: int, folder: str) -> DataFrame:
-    """Untested candidates between components that share a bucket.
+def _across(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Candidates between components that share a bucket.
 
-    They are found without loss by prefix filtering: with shingles ordered from rare to frequent, two
-    sets that are similar enough share one of the first ``n - ceil(n * percent / 100) + 1`` of each.
-    A bucket's stragglers mostly have rare shingles there, and meet nobody.
+    They are found without loss by prefix filtering: with shingles in one order, two sets that are
+    similar enough share one of the first ``n - ceil(n * percent / 100) + 1`` of each. The order is
+    from rare to frequent by a histogram of ``HISTOGRAM`` hash cells (its size doesn't grow), so a
+    bucket's stragglers mostly have their own shingles there and meet nobody.
     """
     own = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     mixed = own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    open_ids = written(own.join(mixed, "key", "left_semi").select("doc_id", "c").distinct(), "open", folder)
-    one = docs.select("doc_id", "text").join(open_ids, "doc_id").dropDuplicates(["doc_id"])
-
-    def sets(batch):
-        held = [shingle_set(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
-        return {"doc_id": batch.column(0), "c": batch.column(2), "n": [len(h) for h in held], "shingle": held}
-
-    tokens = scan(one, ["doc_id", "text", "c"], sets, "doc_id long,c long,n long,shingle array<long>", limit=2 << 20)
-    tokens = written(tokens.select("doc_id", "c", "n", F.explode("shingle").alias("shingle")), "open-shingles", folder)
-    often = tokens.groupBy("shingle").agg(F.count("*").alias("often"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "shingle"))
-    prefix = tokens.join(often, "shingle").withColumn("i", place).where((F.col("often") > 1) & (100 * (F.col("i") - 1) <= (100 - percent) * F.col("n")))
-    prefix = written(prefix.select("shingle", "doc_id", "c", "n", "i"), "prefix", folder)
+    ids = written(own.join(mixed, "key", "left_semi").select("doc_id", "c").distinct(), "open", folder)
+    held = sets.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "doc_id").select("doc_id", "c", "shingles")
+
+    def cells(batch):
+        n = np.bincount(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]) & np.uint64(HISTOGRAM - 1), minlength=HISTOGRAM)
+        at = np.flatnonzero(n)
+        return {"cell": at, "held": n[at]}
+
+    counted = scan(held, ["doc_id", "c", "shingles"], cells, "cell long,held long", text_col="shingles").groupBy("cell").agg(F.sum("held").alias("held"))
+    often = np.zeros(HISTOGRAM, np.int64)
+    for row in counted.toLocalIterator():  # HISTOGRAM rows at most
+        often[row["cell"]] = row["held"]
+    shared = held.sparkSession.sparkContext.broadcast(often)
+
+    def first(batch):
+        out = {k: [] for k in ("shingle", "doc_id", "c", "n", "i")}
+        for doc_id, c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            x = np.frombuffer(x.as_buffer(), np.uint64)
+            n = len(x)
+            seen = shared.value[x & np.uint64(HISTOGRAM - 1)]
+            order = np.lexsort((x, seen))[: n * (100 - percent) // 100 + 1]
+            # a cell held once is a shingle held once
+            i = np.flatnonzero(seen[order] > 1)
+            out["shingle"] += x[order[i]].view(np.int64).tolist()
+            out["i"] += (i + 1).tolist()
+            for name, value in (("doc_id", doc_id), ("c", c), ("n", n)):
+                out[name] += [value] * len(i)
+        return out
+
+    prefix = written(scan(held, ["doc_id", "c", "shingles"], first, "shingle long,doc_id long,c long,n long,i long", text_col="shingles", limit=4 << 20), "prefix", folder)
     parts = prefix.groupBy("shingle", "c").agg(F.count("*").alias("size"))
     main = parts.groupBy("shingle").agg(F.max(F.struct("size", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("shingle", F.col("most.c").alias("main"))
-    shared = prefix.join(main, "shingle")
-    x, y = (shared.select("shingle", "main", *(F.col(c).alias(f"{c}{side}") for c in ("doc_id", "c", "n", "i"))) for side in ("x", "y"))
+    both = prefix.join(main, "shingle")
+    x, y = (both.select("shingle", "main", *(F.col(c).alias(f"{c}{side}") for c in ("doc_id", "c", "n", "i"))) for side in ("x", "y"))
     # pairs are made by those outside a shingle's largest component; the rest of both sets bounds what they can share
     fits = (F.col("cx") != F.col("cy")) & ((100 + percent) * (1 + F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))) >= percent * (F.col("nx") + F.col("ny")))
     pairs = x.where("cx <> main").drop("main").join(y.drop("main"), "shingle").where(fits)
-    return pairs.select(F.greatest("doc_idx", "doc_idy").alias("a"), F.least("doc_idx", "doc_idy").alias("b")).distinct()
+    return pairs.select(F.greatest("doc_idx", "doc_idy").alias("a"), F.least("doc_idx", "doc_idy").alias("b")).where("a <> b").distinct()
 
 
 def keep_representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
