@@ -15,20 +15,56 @@ def technique(technique_id: str, confidence: str) -> Column:
     )
 
 
+def evidence(protocol: Column, event_type: Column, operation: Column, function_code: Column, signature: Column) -> dict[str, Column]:
+    """What a request gives evidence of, as plain booleans: they stay in generated code and push down as filters."""
+    op = F.lower(F.coalesce(operation, F.lit("")))
+    counts = event_type.isin(*C.EVIDENCE_EVENTS)
+    return {
+        "probe": counts & op.isin(*C.PROBES),
+        "read": counts & (protocol == "modbus") & F.coalesce(function_code.isin(*C.READ_FUNCTIONS), F.lit(False)),
+        "command": counts & op.isin(*C.COMMANDS),
+        "program": counts & op.isin(*C.PROGRAM_TRANSFERS),
+        "exploit": (event_type == "known_exploit_probe") & (F.length(F.coalesce(signature, F.lit(""))) > 0),
+    }
+
+
+#: Order of hypotheses: which evidence gives which technique at which confidence.
+HYPOTHESES = (("probe", "T0846.001", "medium"), ("read", "T0877", "low"), ("command", "T1692.001", "high"), ("command", "T0836", "medium"), ("program", "T0843", "high"), ("exploit", "T0866", "high"))
+
+
+def techniques_of(e: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*(F.when(e[name], technique(t, confidence)) for name, t, confidence in HYPOTHESES)))
+
+
+def technique_ids_of(e: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*(F.when(e[name], t) for name, t, _ in HYPOTHESES)))
+
+
+def severity_of(e: dict[str, Column]) -> Column:
+    return F.when(e["command"] | e["program"] | e["exploit"], "high").when(e["read"], "medium").otherwise("info")
+
+
+def confidence_of(e: dict[str, Column]) -> Column:
+    return F.when(e["command"] | e["program"] | e["exploit"], "high").when(e["probe"], "medium").when(e["read"], "low").otherwise("none")
+
+
+def score_of(e: dict[str, Column], operation: Column, function_code: Column, repeats: Column | None = None, novel: Column | None = None) -> Column:
+    """``score(triage_factors(...))`` of mapped events as arithmetic."""
+    op = F.lower(F.coalesce(operation, F.lit("")))
+    read = op.isin(*C.READS) | F.coalesce(function_code.isin(*C.READ_FUNCTIONS), F.lit(False))
+    points = F.when(op.isin(*C.COMMANDS), 40).when(op.isin(*C.PROGRAM_TRANSFERS), 45).otherwise(F.when(read, 15).otherwise(0) + F.when(op.isin(*C.PROBES), 10).otherwise(0))
+    points = points + F.when(e["exploit"], 35).otherwise(0)
+    points = points + F.when(e["command"] | e["program"] | e["exploit"], 20).when(e["probe"], 10).when(e["read"], 5).otherwise(0)
+    if repeats is not None:
+        points = points + F.when(repeats >= 5, 15).when(repeats > 1, 10).otherwise(0)
+    if novel is not None:
+        points = points + F.when(novel, 5).otherwise(0)
+    return F.least(F.lit(100), points)
+
+
 def map_techniques(protocol: Column, event_type: Column, operation: Column, function_code: Column, signature: Column) -> Column:
     """Evidence-qualified hypotheses in a fixed order; a connection alone maps to nothing."""
-    op = F.lower(F.coalesce(operation, F.lit("")))
-    command = op.isin(*C.COMMANDS)
-    rules = [
-        (op.isin(*C.PROBES), technique("T0846.001", "medium")),
-        ((protocol == "modbus") & function_code.isin(*C.READ_FUNCTIONS), technique("T0877", "low")),
-        (command, technique("T1692.001", "high")),
-        (command, technique("T0836", "medium")),
-        (op.isin(*C.PROGRAM_TRANSFERS), technique("T0843", "high")),
-        ((event_type == "known_exploit_probe") & (F.length(F.coalesce(signature, F.lit(""))) > 0), technique("T0866", "high")),
-    ]
-    found = F.array_compact(F.array(*(F.when(cond, value) for cond, value in rules)))
-    return F.when(event_type.isin(*C.EVIDENCE_EVENTS), found).otherwise(F.slice(found, 1, 0))
+    return techniques_of(evidence(protocol, event_type, operation, function_code, signature))
 
 
 def technique_ids(techniques: Column) -> Column:
@@ -89,10 +125,16 @@ def score(factors: Column) -> Column:
 
 
 def priority(points: Column) -> Column:
-    out = F.when((points < 0) | (points > 100), F.raise_error(F.lit("a score lies between 0 and 100")).cast("string"))
-    for name, floor in zip(C.PRIORITIES, C.PRIORITY_FLOORS):
+    """The review queue of a score; a score outside 0..100 is an error."""
+    return F.when((points < 0) | (points > 100), F.raise_error(F.lit("a score lies between 0 and 100")).cast("string")).otherwise(priority_of(points))
+
+
+def priority_of(points: Column) -> Column:
+    """``priority`` for scores that are in range by construction."""
+    out = F.when(points >= C.PRIORITY_FLOORS[0], C.PRIORITIES[0])
+    for name, floor in zip(C.PRIORITIES[1:-1], C.PRIORITY_FLOORS[1:]):
         out = out.when(points >= floor, name)
-    return out
+    return out.otherwise(C.PRIORITIES[-1])
 
 
 def factor_summary(factors: Column) -> Column:

@@ -137,13 +137,9 @@ SPEC = views.FilterSpec(protocols=["modbus", "iec104"], severities=["high", "med
 _FILTER = f"protocol IN ('modbus', 'iec104') AND severity IN ('high', 'medium') AND confidence = 'high' AND priority IN ('urgent review', 'high review', 'elevated review') AND operation IN ({VIEW_CONTROLS_SQL})"
 
 
-def _with_confidence(t):
-    return t.withColumn("mapping_confidence", enrich.view_confidence(F.col("techniques")))
-
-
 @query("dashboard_filter", T + f"SELECT event_id, protocol, severity, priority, operation, source_country FROM tel WHERE {_FILTER}")
 def dashboard_filter(spark, sf_dir):
-    return views.dashboard_filter(_with_confidence(telemetry(spark, sf_dir)), SPEC).select("event_id", "protocol", "severity", "priority", "operation", "source_country")
+    return views.dashboard_filter(telemetry(spark, sf_dir), SPEC).select("event_id", "protocol", "severity", "priority", "operation", "source_country")
 
 
 @query("filter_options", T + "SELECT DISTINCT field, value FROM (SELECT unnest(['protocol', 'severity', 'source_country', 'priority']) AS field, unnest([protocol, severity, source_country, priority]) AS value FROM tel) WHERE value IS NOT NULL")
@@ -159,7 +155,7 @@ def kpi_counts(spark, sf_dir):
 @query("visible_semi_join", T + f"SELECT event_id, session_id, source_id FROM raw WHERE event_id IN (SELECT event_id FROM tel WHERE {_FILTER})")
 def visible_semi_join(spark, sf_dir):
     t = telemetry(spark, sf_dir)
-    return views.visible(t.select("event_id", "session_id", "source_id"), views.dashboard_filter(_with_confidence(t), SPEC))
+    return views.visible(t.select("event_id", "session_id", "source_id"), views.dashboard_filter(t, SPEC))
 
 
 @query("window_24h", T + "SELECT event_id, observed_epoch FROM tel WHERE observed_epoch BETWEEN (SELECT max(observed_epoch) FROM tel) - 86400 AND (SELECT max(observed_epoch) FROM tel)")

@@ -25,9 +25,9 @@ def raw_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.withColumn("protocol", F.when(m < 14, "modbus").when(m < 20, "s7").otherwise("iec104"))
     e = e.withColumn("kind", F.when(F.col("event_type") == "view", "connection").when(F.col("event_type") == "error", "known_exploit_probe").otherwise("protocol_request"))
     e = e.withColumn("function_code", F.when(F.col("protocol") == "modbus", F.element_at(F.array(*map(F.lit, FUNCTION_CODES)), k % 10 + 1)))
-    fc = F.col("function_code")
+    # function codes 5 and 6 stand at 4 and 5 of FUNCTION_CODES, 15 and 16 at 6 and 7
     operation = (
-        F.when(F.col("protocol") == "modbus", F.when(fc.isin(5, 6), "write_single").when(fc.isin(15, 16), "write_multiple").otherwise("device_probe"))
+        F.when(F.col("protocol") == "modbus", F.when((k % 10).isin(4, 5), "write_single").when((k % 10).isin(6, 7), "write_multiple").otherwise("device_probe"))
         .when(F.col("protocol") == "s7", F.when(k % 5 == 0, "program_download").otherwise("connection_setup"))
         .otherwise(F.when(k % 10 % 3 == 0, "interrogation").when(k % 10 % 3 == 1, "single_command").otherwise("setpoint_command"))
     )
@@ -58,10 +58,20 @@ def raw_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enriched events: techniques, severity, triage and completeness."""
     t = raw_telemetry(spark, sf_dir)
-    t = t.withColumn("techniques", enrich.map_techniques(*map(F.col, ("protocol", "event_type", "operation", "function_code", "signature"))))
-    t = t.withColumn("technique_ids", enrich.technique_ids(F.col("techniques"))).withColumn("severity", enrich.severity(F.col("techniques")))
+    found = enrich.evidence(*map(F.col, ("protocol", "event_type", "operation", "function_code", "signature")))
+    t = t.select("*", *(c.alias(f"has_{name}") for name, c in found.items()))
+    e = {name: F.col(f"has_{name}") for name in found}
+    t = t.withColumns(
+        {
+            "techniques": enrich.techniques_of(e),
+            "technique_ids": enrich.technique_ids_of(e),
+            "severity": enrich.severity_of(e),
+            "mapping_confidence": enrich.confidence_of(e),
+            "triage_score": enrich.score_of(e, F.col("operation"), F.col("function_code")),
+        }
+    )
+    t = t.withColumn("priority", enrich.priority_of(F.col("triage_score")))
     t = t.withColumn("factors", enrich.triage_factors(*map(F.col, ("event_type", "operation", "function_code", "signature", "techniques"))))
-    t = t.withColumn("triage_score", enrich.score(F.col("factors"))).withColumn("priority", enrich.priority(F.col("triage_score")))
     complete = enrich.completeness(F.col("operation").isNotNull(), F.lit(True), F.col("session_id"), F.coalesce(F.substring("source_country", 1, 2), F.lit("ZZ")), F.col("source_latitude"), F.col("source_longitude"), F.col("techniques"))
     return t.withColumn("completeness", complete)
 
