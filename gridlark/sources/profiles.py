@@ -1,0 +1,37 @@
+"""Driver-side configuration: device profiles and alert settings, small files with allow-lists."""
+
+from __future__ import annotations
+
+import json
+from dataclasses import dataclass
+
+MAX_BYTES, MAX_REGISTERS, MAX_RANGES = 64 * 1024, 512, 32
+
+
+@dataclass(frozen=True)
+class Profile:
+    profile_id: str
+    registers: dict[int, int]
+    writable: list[tuple[int, int]]
+
+
+def _word(value) -> int:
+    n = int(value)
+    if isinstance(value, bool) or not 0 <= n <= 0xFFFF:
+        raise ValueError("a register or value lies outside 0..65535")
+    return n
+
+
+def load_profile(text: str) -> Profile:
+    """A device profile in JSON."""
+    if len(text.encode()) > MAX_BYTES:
+        raise ValueError("the profile is too large")
+    spec = json.loads(text)
+    if spec.get("fictional") is not True:
+        raise ValueError("a profile must be marked fictional")
+    modbus = spec.get("modbus", {})
+    registers = {_word(k): _word(v) for k, v in modbus.get("holding_registers", {}).items()}
+    writable = [(_word(a), _word(b)) for a, b in modbus.get("writable_ranges", [])]
+    if len(registers) > MAX_REGISTERS or len(writable) > MAX_RANGES or any(a > b for a, b in writable):
+        raise ValueError("registers or ranges are out of bounds")
+    return Profile(str(spec["profile_id"]), registers, writable)
