@@ -244,3 +244,31 @@ def test_mixing(spark):
     assert mixing.mix(docs).columns == docs.columns and mixing.mix(docs.limit(0)).count() == 0
     none = mixing.mix(docs, spark.createDataFrame([("s1", 1.0)], "source string, weight double")).select("source").distinct().collect()
     assert [r.source for r in none] == ["s1"]
+
+
+def test_mixing_rare_source(spark):
+    """One null row beside a large corpus: a rate of any size, drawn as by exact inversion at the document's uniform."""
+    import math
+
+    for big, least in ((700_000, 500), (40_000_000, 4000)):
+        rows = [(i, "w" * (big // 40), f"s{i % 2}") for i in range(40)] + [(None, None, None), (99, "ab", "rare")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        rates = {r.source: r.rate for r in mixing.source_rates(docs).collect()}
+        assert rates[None] > least and rates[None] > rates["rare"]
+        got = mixing.replicated(docs).where("source is null or source = 'rare'").select("source", "__mix_copies", "__mix_replica").collect()
+        for source, own in ((None, "text:" + hashlib.md5(b"").hexdigest()), ("rare", "99")):
+            u = int(hashlib.md5(f"{mixing.SEED}:copies:{own}".encode()).hexdigest()[:13], 16) * 2.0**-52
+            n, c = 0, math.exp(-rates[source])
+            if rates[source] > 500:
+                terms = (math.exp(k * math.log(rates[source]) - rates[source] - math.lgamma(k + 1)) for k in range(10**6))
+                n, c = 0, next(terms)
+                while c <= u:
+                    n, c = n + 1, c + next(terms)
+            else:
+                p = c
+                while c <= u:
+                    n += 1
+                    p *= rates[source] / n
+                    c += p
+            mine = [r for r in got if r.source == source]
+            assert sorted(r["__mix_replica"] for r in mine) == list(range(n)) and {r["__mix_copies"] for r in mine} == {n}
