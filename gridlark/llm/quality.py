@@ -5,7 +5,7 @@ A two-state chain (content, boilerplate) is decoded by Viterbi; the share of wor
 decides whether the text stays, after fixed base rules.
 
 The chain is trained here, on a bounded, documented sample: at most ``max_labelled`` rows of
-``labels`` (the smallest hashes of doc_id), and of each of their texts at most ``MAX_TRAIN_LINES``
+``labels`` (of each quality the smallest hashes of doc_id), and of each of their texts at most ``MAX_TRAIN_LINES``
 lines spread evenly. A line's weak label is its document's quality. Training maximises the
 conditional likelihood. Without labels of both kinds every line counts as content.
 
@@ -113,14 +113,14 @@ def line_features(texts: list[str], counts: list[dict]) -> tuple[np.ndarray, np.
 
 
 def viterbi(emit: list, move: list) -> bytearray:
-    """The best states (1: content) of a chain; ``emit`` has two scores a line, ``move[a][b]`` scores a step."""
+    """The best states (1: content) of a chain, content on ties; ``emit`` has two scores a line, ``move[a][b]`` scores a step."""
     (m00, m01), (m10, m11) = move
     if not emit:
         return bytearray()
     a, b = emit[0]
     came = []
     for e0, e1 in emit[1:]:
-        to0, to1 = (a + m00 < b + m10), (a + m01 < b + m11)
+        to0, to1 = (a + m00 <= b + m10), (a + m01 <= b + m11)
         a, b = (b + m10 if to0 else a + m00) + e0, (b + m11 if to1 else a + m01) + e1
         came.append((to0, to1))
     state = int(b > a) if a != b else 1
@@ -183,7 +183,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000) -> tuple[n
     """The chain from a bounded labelled sample; features come to the driver, not texts."""
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
+    # half for each kind, so that a rare kind is in the sample; what one leaves free goes to the other
+    ranked = [known.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled) for y in (0, 1)]
+    held = [r.count() for r in ranked]
+    half = max_labelled // 2
+    take = [min(held[0], max(max_labelled - half, max_labelled - held[1])), min(held[1], max(half, max_labelled - held[0]))]
+    known = ranked[0].limit(take[0]).union(ranked[1].limit(take[1]))
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most max_labelled rows
 
     def features(batch):

@@ -272,3 +272,26 @@ def test_mixing_rare_source(spark):
                     c += p
             mine = [r for r in got if r.source == source]
             assert sorted(r["__mix_replica"] for r in mine) == list(range(n)) and {r["__mix_copies"] for r in mine} == {n}
+
+
+def test_quality_without_labels_of_both_kinds(spark):
+    text = "\n".join(" ".join(f"word{20 * k + j}" for j in range(20)) for k in range(5)) + "\nend"
+    docs = spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string")
+    for rows in ([], [(0, 1), (1, 1)], [(0, 0), (1, 0)]):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int")
+        got = quality.quality_verdicts(docs, labels).collect()
+        assert len(got) == 3 and all(r.kept and r.content_share == 1.0 and r.n_content_lines == 6 for r in got)
+        assert quality.keep_quality(docs, labels).count() == 3
+
+
+def test_labelled_sample_has_the_rare_kind(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    kinds = []
+    monkeypatch.setattr(quality, "train_chain", lambda rows: kinds.append(collections.Counter(y for _, y in rows)))
+    # by hash alone a single label would be among ten of 60 in one case of six
+    for rare in range(0, 60, 20):
+        labels = spark.createDataFrame([(i, int(i != rare)) for i in range(60)], "doc_id long, quality int")
+        quality.fit(docs, labels, 10)
+        assert kinds.pop() == {0: 1, 1: 9}
+    quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"), 10)
+    assert kinds.pop() == {0: 5, 1: 5}
