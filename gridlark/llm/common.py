@@ -58,7 +58,7 @@ def scan(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict
     return df.select(*columns).mapInArrow(run, schema)
 
 
-_TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
 
 
 def spark_to_arrow(schema: str) -> pa.Schema:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlark.llm import decontaminate, elias_fano, mixing, pii, quality, secrets, token_counts, token_files, warc
+from gridlark.llm import common, decontaminate, elias_fano, mixing, pii, quality, secrets, token_counts, token_files, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
@@ -295,3 +295,17 @@ def test_labelled_sample_has_the_rare_kind(spark, monkeypatch):
         assert kinds.pop() == {0: 1, 1: 9}
     quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"), 10)
     assert kinds.pop() == {0: 5, 1: 5}
+
+
+def test_decontamination_blocks_change_nothing(spark):
+    """Null and repeated doc_ids, ids with commas and null ids: several blocks give what one gives."""
+    rows = [(None, "alpha beta gamma delta"), (None, "nothing here"), (7, "one alpha beta"), (7, "gamma delta"), (7, None), (8, ""), (9, "Alpha, BETA; gamma delta two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([("a,b", "alpha beta"), (None, "gamma delta"), (None, "gamma delta"), ("c", "beta gamma"), ("d", None)], "item_id string, text string")
+    folder = common.shared_dir(spark)
+    assert len(decontaminate._blocks(decontaminate._windows(bench, 10, folder), 20)) > 1
+    one, many = (sorted(map(tuple, decontaminate.contamination(docs, bench, **kw).collect()), key=str) for kw in ({}, {"max_block_bytes": 20}))
+    assert one == many and len(many) == len(rows)
+    assert {(r[0], r[1], r[2], r[3], r[6], r[7]) for r in many} >= {(None, 4, 4, 3, "a,b,c", "0:22"), (None, 2, 0, 0, "", ""), (7, 3, 2, 1, "a,b", "4:14"), (7, 2, 2, 1, "", "0:11"), (7, 0, 0, 0, "", "")}
+    kept = [sorted(map(tuple, decontaminate.decontaminate(docs, bench, **kw).collect()), key=str) for kw in ({}, {"max_block_bytes": 20})]
+    assert kept[0] == kept[1] == sorted([(None, "nothing here"), (7, None), (8, "")], key=str)
