@@ -9,7 +9,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -17,6 +17,8 @@ from gridlark.functions import crypto
 
 REPLAY_SECONDS, SUPPRESS_SECONDS, DEDUP_SECONDS = 900, 600, 1800
 MAX_BODY_BYTES = 64 * 1024
+#: Numbers of a block of ordered requests.
+SEQ_BLOCK = 4096
 
 
 def merged_sessions(events: DataFrame, gap_seconds: int = DEDUP_SECONDS, watermark: str | None = "1 hour") -> DataFrame:
@@ -68,21 +70,25 @@ def suppressed_alerts(alerts: DataFrame, seconds: int = SUPPRESS_SECONDS) -> Dat
 
 
 def register_updates(requests: DataFrame, writable: tuple[int, int] = (0, 99)) -> DataFrame:
-    """A simulated device's registers: ordered writes by sensor; refused outside ``writable``."""
-    schema = "sensor_id string, seq long, address int, previous int, value int, applied boolean"
-    low, high = writable
+    """A simulated device's registers: ordered writes by sensor; refused outside ``writable``.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict[int, int] = {}
-        rows = []
-        for r in pdf.sort_values("seq").itertuples():
-            ok = low <= r.address <= high and 0 <= r.value <= 0xFFFF
-            rows.append((r.sensor_id, r.seq, r.address, held.get(r.address, 0), r.value, ok))
-            if ok:
-                held[r.address] = r.value
-        return pd.DataFrame(rows, columns=["sensor_id", "seq", "address", "previous", "value", "applied"])
-
-    return requests.groupBy("sensor_id").applyInPandas(fold, schema)
+    A register's writes are sorted within blocks of ``SEQ_BLOCK`` numbers; each block's last value is carried to
+    the next ones, so no task holds all writes of a sensor or a register.
+    """
+    low, high = writable
+    ok = F.coalesce(F.col("address").between(low, high) & F.col("value").between(0, 0xFFFF), F.lit(False))
+    r = requests.select("sensor_id", "seq", "address", "value", ok.alias("applied"), F.floor(F.col("seq") / SEQ_BLOCK).alias("block"))
+    register = ["sensor_id", "address"]
+    earlier = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    written = F.when(F.col("applied"), F.col("value"))
+    inside = r.withColumn("inside", F.last(written, ignorenulls=True).over(earlier([*register, "block"], "seq")))
+    ends = r.where("applied").groupBy(*register, "block").agg(F.max_by("value", "seq").alias("end"))
+    # every block of a register needs a row, also one without an applied write
+    blocks = r.select(*register, "block").distinct().join(ends, [*register, "block"], "left")
+    carried = blocks.withColumn("carried", F.last("end", ignorenulls=True).over(earlier(register, "block"))).where("carried is not null").drop("end")
+    both = inside.join(carried, [*register, "block"], "left")
+    previous = F.coalesce("inside", "carried", F.lit(0)).cast("int")
+    return both.select("sensor_id", "seq", F.col("address").cast("int").alias("address"), previous.alias("previous"), F.col("value").cast("int").alias("value"), "applied")
 
 
 def envelope_verdict(secrets: dict[str, bytes], now: Column, skew: int = 300, schema_name: str = "envelope-1") -> Column:

@@ -101,3 +101,21 @@ def test_profiles():
     assert profiles.load_profile(text).registers == {1: 5}
     with pytest.raises(ValueError):
         profiles.load_profile(text.replace("true", "false"))
+
+
+def test_registers_carry_over_blocks_without_groups_in_memory(spark):
+    rng = __import__("random").Random(6)
+    rows = [("hot" if rng.random() < 0.8 else f"s{k % 3}", 7 * k, rng.choice((3, 3, 3, 5, 99, 100, -1)), rng.choice((1, 2, 70_000, -4, 900)) if k % 5 else k) for k in range(3000)]
+    held, want = {}, []
+    for sensor, seq, address, value in rows:
+        ok = 0 <= address <= 99 and 0 <= value <= 0xFFFF
+        want.append((sensor, seq, address, held.get((sensor, address), 0), value, ok))
+        if ok:
+            held[sensor, address] = value
+    # registers with a gap of whole blocks, and a block without an applied write
+    rows += [("gap", 0, 1, 5), ("gap", 30_000, 1, -1), ("gap", 90_000, 1, 6), ("gap", 90_001, 1, 7)]
+    want += [("gap", 0, 1, 0, 5, True), ("gap", 30_000, 1, 5, -1, False), ("gap", 90_000, 1, 5, 6, True), ("gap", 90_001, 1, 6, 7, True)]
+    got = state.register_updates(spark.createDataFrame(rows, "sensor_id string, seq long, address int, value int").repartition(5))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got.dtypes == [("sensor_id", "string"), ("seq", "bigint"), ("address", "int"), ("previous", "int"), ("value", "int"), ("applied", "boolean")]
+    assert "InPandas" not in got._jdf.queryExecution().toString()
