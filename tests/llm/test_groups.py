@@ -1,11 +1,13 @@
 """Near-duplicate documents and lines, and the pipeline, against brute force."""
 
+import collections
 import os
 import random
 import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from gridlark.llm import components, line_dedup, near_dedup
 
@@ -94,62 +96,83 @@ def test_signatures_estimate_with_less_variance():
     assert sorted(v.astype(int)) == list(range(near_dedup.SLOTS))
 
 
+def random_words(rng, n):
+    return ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n)]
+
+
+def one_edit(rng, text):
+    """One character changed, put in or left out, inside a word."""
+    at = rng.choice([k for k, c in enumerate(text) if c != " "])
+    return text[:at] + rng.choice(["", "q", "qz"[text[at] == "q"] + text[at], "x" if text[at] != "x" else "y"]) + text[at + 1 :]
+
+
 def line_docs():
     rng = random.Random(8)
-    vocabulary = [f"word{n}" for n in range(3000)]
+    vocabulary = random_words(rng, 3000)
     common = " ".join(rng.choices(vocabulary, k=60))
-    out = [(0, None), (1, ""), (2, "short line\nshort line"), (None, common)]
+    short = "all rights reserved"
+    out = [(0, None), (1, ""), (2, "short line\nshort line"), (None, common), (200, "***\n---\n***"), (201, "Chapter 1\nchapter 2\nCHAPTER 1"), (202, "chapter one hundred\nchapter one hundted"), (203, "\n\nend")]
     for i in range(3, 60):
-        own = [" ".join(rng.choices(vocabulary, k=rng.randint(3, 80))) for _ in range(4)]
+        own = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 80))) for _ in range(4)]
         if i % 3 == 0:
             own.append(common.upper() + "!!")
         if i % 4 == 0:
             w = common.split()
             w[i % 60] = w[i % 60][:-1] + "x"
+            w[i * 7 % 60] += "s"
             own.insert(1, " ".join(w))
         if i % 10 == 0:
             own.append(own[0])
+        if i % 5 == 0:
+            own.append(short.title())
+        if i % 6 == 0:
+            own.append(one_edit(rng, own[2]))
         out.append((i, "\n".join(own)))
-    return out + [out[20]]
-
-
-def distance(a, b):
+    # the same id with other texts, and a line that is longer than any bound of old
+    out += [out[20], (20, "an own text under a repeated id\n" + common), (300, " ".join(rng.choices(vocabulary, k=12_000)))]
+    return out + [(301, one_edit(rng, out[-1][1]))]
+
+
+def distance_within(a, b, bound):
+    """Is the edit distance ``bound`` or less? Equal ends are cut first."""
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    k = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[k:], b[k:]
+    grams = lambda s: collections.Counter(s[i : i + 2] for i in range(len(s) - 1))
+    # an edit touches two pairs of neighbours
+    if abs(len(a) - len(b)) > bound or sum((grams(a) - grams(b)).values()) > 2 * bound:
+        return False
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
         row = new
-    return row[-1]
+    return row[-1] <= bound
 
 
 def test_line_dedup_equals_brute_force(spark):
-    import xxhash
-
+    """Edit similarity alone decides: all edits here are in one or two words, which candidates never miss."""
     rows = line_docs()
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, norm string, h1 int").repartition(3)
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "", r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs).collect())
     norm = lambda s: re.sub(r"[^a-z0-9]+", " ", s.lower()).strip()
     occurs = {}
     for i, text in rows:
         for k, line in enumerate((text or "").split("\n")):
-            if norm(line).count(" ") >= 4:
+            if norm(line):
                 occurs.setdefault(norm(line), []).append((i is None, i or 0, text, k))
     names = sorted(occurs)
-    sims = []
-    for n in names:
-        w = n.split(" ")
-        h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in w]
-        sims.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(w)))
-    links = [(i, j) for i in range(len(names)) for j in range(i) if bin(sims[i] ^ sims[j]).count("1") <= 3 and distance(names[i], names[j]) <= int(0.1 * max(len(names[i]), len(names[j])) + 1e-9)]
-    assert links
+    links = [(i, j) for i in range(len(names)) for j in range(i) if distance_within(names[i], names[j], int(0.1 * max(len(names[i]), len(names[j])) + 1e-9))]
+    assert len(links) > 100
     of = grouped(len(names), links)
     groups = {}
     for k, n in enumerate(names):
         groups.setdefault(of[k], []).extend(occurs[n])
     gone = set()
     for o in groups.values():
-        first = min(o, key=lambda x: (x[0], x[1], x[3]))
+        first = min(o, key=lambda x: (x[0], x[1], xxhash.xxh64_intdigest(x[2].encode(), seed=42) - (1 << 64) * (xxhash.xxh64_intdigest(x[2].encode(), seed=42) >> 63), x[3]))
         gone |= {x for x in o if x != first}
     want = []
     for i, text in rows:
@@ -160,6 +183,50 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_recall_by_length(spark):
+    """The share of edited lines that meet their origin, by words of the line and kind of edit."""
+    rng = random.Random(12)
+
+    def put(words, n):
+        for _ in range(n):
+            words.insert(rng.randrange(len(words) + 1), "of")
+        return words
+
+    def swap(words, n):
+        for k in rng.sample(range(len(words)), n):
+            words[k] = one_edit(rng, words[k] + "e")
+        return words
+
+    classes = ((1, 3), (4, 4), (5, 9), (10, 19), (20, 49), (50, 199), (200, 900))
+    kinds = {"letter": lambda w: one_edit(rng, " ".join(w)), "word": lambda w: " ".join(swap(w, 1)), "two words": lambda w: " ".join(swap(w, 2)), "three words": lambda w: " ".join(swap(w, 3)), "inserted": lambda w: " ".join(put(w, 1))}
+    rows, tried = [], []
+    for low, high in classes:
+        for kind, edit in kinds.items():
+            for _ in range(40):
+                words = random_words(rng, rng.randint(low, high))
+                text = " ".join(words)
+                other = edit(list(words)) if len(words) >= 3 or kind in ("letter", "word", "inserted") else text
+                bound = int(0.1 * max(len(text), len(other)) + 1e-9)
+                # no kind takes more than eight edits
+                if other != text and (bound >= 8 or distance_within(text, other, bound)):
+                    tried.append((low, kind, len(rows) + 1))
+                    rows += [(len(rows), text), (len(rows) + 1, other)]
+    removed = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(removed[i] for i in range(0, len(rows), 2))
+    found = collections.Counter((low, kind) for low, kind, i in tried if removed[i])
+    held = collections.Counter((low, kind) for low, kind, _ in tried)
+    share = {k: round(found[k] / held[k], 2) for k in held}
+    print(share)
+    for (low, kind), value in share.items():
+        if low == 1:
+            # characters are the units: two edited letters are two edits
+            assert value >= 0.9 or kind != "letter", share
+        elif kind in ("letter", "word") or kind == "two words" and low >= 10:
+            assert value == 1, share
+        elif low >= 10:
+            assert value >= (0.9 if kind == "inserted" else 0.6), share
+
+
 def test_line_dedup_main_path_is_native(spark):
     docs = spark.createDataFrame(line_docs(), "doc_id long, text string")
     plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().toString()
