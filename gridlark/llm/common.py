@@ -1,4 +1,4 @@
-"""What the corpus operators share: batch scans, a process-wide cache, the shared work folder."""
+"""What the corpus operators share: batch scans, one cache for each Python worker, the shared work folder."""
 
 from __future__ import annotations
 
@@ -28,9 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def worker_store() -> types.ModuleType:
-    """A namespace that lives as long as the Python worker, for caches that tasks share."""
-    return sys.modules.setdefault("_gridlark_worker_store", types.ModuleType("_gridlark_worker_store"))
+def held(key: str, build: Callable[[], object]) -> object:
+    """What ``build`` makes, kept in the Python worker for later tasks that ask for the same ``key``.
+
+    A worker serves many stages, so it keeps one thing at a time: another key, or ``release``, lets the last one go.
+    """
+    store = sys.modules.setdefault("_gridlark_worker_store", types.ModuleType("_gridlark_worker_store"))
+    if getattr(store, "key", None) != key:
+        release()
+        store.value, store.key = build(), key
+    return store.value
+
+
+def release() -> None:
+    """Forget what ``held`` keeps; called where a task starts that needs none of it."""
+    if (store := sys.modules.get("_gridlark_worker_store")) is not None and getattr(store, "key", None) is not None:
+        store.key = store.value = None
+        pa.default_memory_pool().release_unused()
 
 
 def slices(batch: pa.RecordBatch, text_col: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -44,12 +58,17 @@ def slices(batch: pa.RecordBatch, text_col: str, limit: int = 16 << 20) -> Itera
     yield from slices(batch.slice(half), text_col, limit)
 
 
-def scan(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict | None], schema: str, text_col: str = "text", limit: int = 16 << 20) -> DataFrame:
-    """One narrow pass: only ``columns`` are read; ``fn`` gets batches and returns columns in the order of ``schema``."""
+def scan(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict | None], schema: str, text_col: str = "text", limit: int = 16 << 20, holds: bool = False) -> DataFrame:
+    """One narrow pass: only ``columns`` are read; ``fn`` gets batches and returns columns in the order of ``schema``.
+
+    ``holds``: ``fn`` uses ``held``; else what the worker still keeps is let go.
+    """
     ship(df.sparkSession)
     target = spark_to_arrow(schema)
 
     def run(batches):
+        if not holds:
+            release()
         for batch in batches:
             for part in slices(batch, text_col, limit):
                 if part.num_rows and (out := fn(part)) is not None:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import scan, shared_dir, ship, slices, table, worker_store, written
+from gridlark.llm.common import held, scan, shared_dir, ship, slices, table, written
 
 #: ASCII letters are lower-cased, other ASCII but digits separates words, bytes of non-ASCII stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c > 127 else 32 for c in range(256))
@@ -51,8 +51,8 @@ def windows_of(items: list[tuple], window: int) -> list[tuple[str, tuple]]:
 
 def _automaton(windows, token: str):
     """Built once in each Python worker for a broadcast list."""
-    store = worker_store()
-    if getattr(store, "automaton_token", None) != token:
+
+    def build():
         import ahocorasick
 
         built = ahocorasick.Automaton()
@@ -60,8 +60,9 @@ def _automaton(windows, token: str):
             built.add_word(pattern, (pattern.count(" ") - 1, len(pattern), ids))
         if len(built):
             built.make_automaton()
-        store.automaton, store.automaton_token = built, token
-    return store.automaton
+        return built
+
+    return held(f"automaton:{token}", build)
 
 
 def scan_text(text: str | None, automaton) -> tuple[int, set, list[tuple[int, int]]]:
@@ -157,7 +158,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_b
         automaton = _automaton(shared.value, token)
         return _verdicts(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lambda k, text: scan_text(text, automaton))
 
-    return scan(docs, ["doc_id", "text"], judge, _SCHEMA)
+    return scan(docs, ["doc_id", "text"], judge, _SCHEMA, holds=True)
 
 
 def _verdicts(doc_ids: list, texts: list, found) -> dict:
@@ -193,7 +194,7 @@ def _hits(keyed: DataFrame, blocks: list[DataFrame], folder: str) -> DataFrame:
                         out[key].append(value)
             return out
 
-        hits = written(scan(keyed, ["__row", "text"], judge, "row long,items array<string>,runs array<long>"), f"hits-{n}", folder)
+        hits = written(scan(keyed, ["__row", "text"], judge, "row long,items array<string>,runs array<long>", holds=True), f"hits-{n}", folder)
         shared.destroy()
     return spark.read.schema(hits.schema).parquet(*(f"{folder}/hits-{n}" for n in range(len(blocks))))
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import scan, shared_dir, ship, table, written
+from gridlark.llm.common import release, scan, shared_dir, ship, table, written
 from gridlark.llm.components import components
 
 BANDS, ROWS = 30, 6
@@ -147,6 +147,7 @@ def _pairs_where(pairs: DataFrame, values: DataFrame, good) -> DataFrame:
     joined = pairs.join(values.select(F.col("doc_id").alias("a"), F.col(name).alias("va")), "a").join(values.select(F.col("doc_id").alias("b"), F.col(name).alias("vb")), "b")
 
     def check(batches):
+        release()
         for batch in batches:
             keep = [good(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))

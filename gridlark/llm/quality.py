@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import scan, ship, slices, table
+from gridlark.llm.common import release, scan, ship, slices, table
 
 _SCHEMA = "doc_id long,n_words long,word_chars long,n_symbols long,n_dup_lines long,n_repeat_words long,base_failed boolean,kept boolean,content_share double,n_lines long,n_content_lines long"
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -250,6 +250,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, min_share: float = MIN_SHAR
     at = docs.columns.index("text")
 
     def run(batches):
+        release()
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 out = judge([t or "" for t in part.column(at).to_pylist()], model, min_share)

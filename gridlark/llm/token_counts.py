@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlark.llm.common import scan, table, worker_store
+from gridlark.llm.common import held, scan, table
 from gridlark.llm.tokens import BytePairFile, PieceCache, pieces
 
 _SCHEMA = "doc_id long,n_bytes long,n_tokens long,over_limit boolean"
@@ -122,23 +122,16 @@ class TokenCounter:
         return total
 
 
-def _counter(path: str) -> TokenCounter:
-    store = worker_store()
-    if path not in (held := store.__dict__.setdefault("counters", {})):
-        held[path] = TokenCounter(path)
-    return held[path]
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """Per document its UTF-8 bytes, tokens under the vocabulary at ``path``, and whether they pass ``limit``."""
 
     def count(batch):
-        counter = _counter(path)
+        counter = held(f"counter:{path}", lambda: TokenCounter(path))
         ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
         n = counter.counts(texts)
         return {"doc_id": ids, "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
-    return scan(docs, ["doc_id", "text"], count, _SCHEMA, limit=4 << 20)
+    return scan(docs, ["doc_id", "text"], count, _SCHEMA, limit=4 << 20, holds=True)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

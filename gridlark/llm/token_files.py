@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import ship, shared_dir, slices, spark_to_arrow, table, worker_store
+from gridlark.llm.common import held, release, ship, shared_dir, slices, spark_to_arrow, table
 from gridlark.llm.elias_fano import EliasFano, encode
-from gridlark.llm.tokens import BytePairFile, pieces
+from gridlark.llm.tokens import ENTRY, BytePairFile, pieces
 
 END_ID = 2
 _SHARD = "shard long,path string,n_docs long,n_null long,base_id long,n_ids long,wide boolean"
@@ -47,14 +47,13 @@ def open_store(uri: str):
 class _Pieces(dict):
     """Piece to its ids as bytes; what is missing is encoded by the library's model.
 
-    Two generations: a full dictionary becomes the old one, and what is asked for again moves on.
+    Two generations of ``bound`` bytes: a full dictionary becomes the old one, and what is asked for again moves on.
     """
 
-    BOUND = 400_000
-
-    def __init__(self, encoder: Encoder, space: bool):
+    def __init__(self, encoder: Encoder, space: bool, bound: int):
         super().__init__()
         self.encoder, self.space, self.old = encoder, space, {}
+        self.bound, self.held = bound, 0
 
     def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
@@ -63,8 +62,9 @@ class _Pieces(dict):
             split = e.file.pre_tokens(piece, self.space)
             # a pre-token with its space is a piece of its own
             out = e.token_bytes(split[0]) if len(split) == 1 else b"".join([e.tail[t[1:]] if t[0] == " " and len(t) > 1 else e.head[t] for t in split])
-        if len(self) >= self.BOUND:
-            self.old = dict(self)
+        self.held += ENTRY + len(piece) + len(out)
+        if self.held > self.bound:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[piece] = out
         return out
@@ -77,7 +77,7 @@ class Encoder:
         self.file = BytePairFile(path)
         self.model = self.file.library.model
         self.dtype = np.dtype("<u2" if self.file.size <= 1 << 16 else "<u4")
-        self.head, self.tail = _Pieces(self, False), _Pieces(self, True)
+        self.head, self.tail = _Pieces(self, False, 4 << 20), _Pieces(self, True, 48 << 20)
         self.code = "H" if self.dtype.itemsize == 2 else "I"
 
     def token_bytes(self, pre_token: str) -> bytes:
@@ -96,13 +96,6 @@ class Encoder:
         return b"".join(out)
 
 
-def _encoder(path: str) -> Encoder:
-    held = worker_store().__dict__.setdefault("encoders", {})
-    if path not in held:
-        held[path] = Encoder(path)
-    return held[path]
-
-
 def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -> list[dict]:
     """Write the shards under ``folder`` and return the manifest, in order, with ``base``: ids before each shard."""
     spark = docs.sparkSession
@@ -113,7 +106,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END
 
         task = TaskContext.get()
         store, top = open_store(folder)
-        encoder = _encoder(path)
+        encoder = held(f"encoder:{path}", lambda: Encoder(path))
         end = np.array([end_id], encoder.dtype).tobytes()
         name = f"{top}/shard-{task.partitionId():06d}-{task.taskAttemptId()}"
         n, total, null, ends, docs_in = 0, 0, 0, [], []
@@ -190,6 +183,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: list[dict]) ->
     target = spark_to_arrow(_OUT)
 
     def read(batches):
+        release()
         for batch in batches:
             for row in batch.to_pylist():
                 for own, starts, sizes, ids in read_shard(folder, row):

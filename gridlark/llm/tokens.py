@@ -2,7 +2,7 @@
 
 A text is first cut at single spaces where the byte-level pre-tokenizer always cuts as well, so a
 piece's tokens don't depend on its neighbours. Pieces repeat a lot; what a piece becomes is worked
-out once in each Python worker (the cache is emptied when it reaches its bound).
+out once in each Python worker (the caches are bounded in bytes).
 """
 
 from __future__ import annotations
@@ -81,18 +81,30 @@ class BytePairFile:
         return pre_token.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._map)
 
 
+#: Bytes that a cached piece takes beside its characters: two objects and a place in a dictionary.
+ENTRY = 200
+
+
 class PieceCache:
-    """Piece to value, for pieces with and without a space before them. ``work`` values many at once."""
+    """Piece to value, for pieces with and without a space before them. ``work`` values many at once.
+
+    Each side holds ``bound`` bytes at most, and what one batch asks for.
+    """
 
-    def __init__(self, work, bound: int = 600_000):
+    def __init__(self, work, bound: int = 48 << 20):
         self.work, self.bound = work, bound
         self.known: tuple[dict, dict] = ({}, {})
+        self.size = [0, 0]
 
     def fill(self, wanted, space: bool) -> dict:
         known = self.known[space]
         if missing := [p for p in wanted if p not in known]:
-            if len(known) + len(missing) > self.bound:
+            more = sum(map(len, missing)) + ENTRY * len(missing)
+            if self.size[space] + more > self.bound:
                 known.clear()
+                self.size[space] = 0
                 missing = list(wanted)
+                more = sum(map(len, missing)) + ENTRY * len(missing)
+            self.size[space] += more
             known.update(zip(missing, self.work(missing, space)))
         return known
