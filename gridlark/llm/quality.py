@@ -5,13 +5,16 @@ A two-state chain (content, boilerplate) is decoded by Viterbi; the share of wor
 decides whether the text stays, after fixed base rules.
 
 The chain is trained here, on a bounded, documented sample: at most ``max_labelled`` rows of
-``labels`` (of each quality the smallest hashes of doc_id), and of each of their texts at most ``MAX_TRAIN_LINES``
-lines spread evenly. A line's weak label is its document's quality. Training maximises the
-conditional likelihood. Without labels of both kinds every line counts as content.
+``labels``, of each quality those with the smallest hashes of doc_id and text, with all lines of their
+texts. Only documents are labelled, so the states of lines are hidden: a good document is all content,
+and a poor one holds a boilerplate line somewhere. Training maximises the likelihood of that, so lines
+of poor documents that look like those of good ones stay content. Without labels of both kinds every
+line counts as content.
 
 Defined results: null and empty texts have no words and fail the base rules. Lines are cut at
-``\\n`` only. Null labels are ignored; repeated labels all count. Repeated rows are judged row by
-row; an empty table gives no rows; ``keep_quality`` returns all columns as they were.
+``\\n`` only. Null labels are ignored; repeated labels and repeated labelled doc_ids all count.
+Repeated rows are judged row by row; empty ``documents`` give no rows, empty ``labels`` a chain that
+keeps every line; other columns are not read, and ``keep_quality`` returns all columns as they were.
 """
 
 from __future__ import annotations
@@ -22,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import release, scan, ship, slices, table
+from gridlark.llm.common import release, scan, ship, slices, table, written
 
 _SCHEMA = "doc_id long,n_words long,word_chars long,n_symbols long,n_dup_lines long,n_repeat_words long,base_failed boolean,kept boolean,content_share double,n_lines long,n_content_lines long"
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
-MAX_TRAIN_LINES = 200
+#: Texts are trained on in runs of so many lines; all runs of a text count together.
+RUN = 64
 FEATURES = ("bias", "upper", "digit", "symbol", "stop", "shout", "other", "foreign", "log_words", "short", "word_length", "ends_sentence", "repeats", "first", "last")
 LOWER, UPPER, DIGIT, SPACE, SYMBOL, STOP, SHOUT, OTHER, FOREIGN = range(9)
 
@@ -132,46 +136,53 @@ def viterbi(emit: list, move: list) -> bytearray:
     return out
 
 
-def train_chain(sequences: list[tuple[np.ndarray, int]], epochs: int = 120, rate: float = 0.15, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (feature x state) and moves that maximise the conditional likelihood (Adam on forward-backward)."""
+def train_chain(texts: list[tuple[np.ndarray, int]], epochs: int = 120, rate: float = 0.15, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (feature x state) and moves from (features by line, quality) of texts; lines have no labels.
+
+    With p the probability that all lines of a text are content, a good text adds log p (by line) and a
+    poor one log(1 - p). Both gradients are that of log p, times a factor (Adam on forward-backward).
+    """
     k = len(FEATURES)
     w, move = np.zeros((k, 2)), np.zeros((2, 2))
-    kinds = {y for _, y in sequences}
-    if len(kinds) < 2:
+    if len({y for _, y in texts}) < 2:
         return w, move
-    order = sorted(sequences, key=lambda s: -len(s[0]))
-    size = np.array([len(x) for x, _ in order])
+    runs = sorted(((x[a : a + RUN], n) for n, (x, _) in enumerate(texts) for a in range(0, len(x), RUN)), key=lambda r: -len(r[0]))
+    size, owner = np.array([len(x) for x, _ in runs]), np.array([n for _, n in runs])
     steps = int(size[0])
     alive = [int((size > t).sum()) for t in range(steps)]
-    flat = [np.stack([x[t] for x, _ in order[: alive[t]]]).astype(float) for t in range(steps)]
-    state = np.array([y for _, y in order])
-    # both kinds of document weigh the same
-    share = np.where(state == 1, 0.5 / max(1, (state == 1).sum()), 0.5 / max(1, (state == 0).sum())) / np.maximum(size, 1)
+    flat = [np.stack([x[t] for x, _ in runs[: alive[t]]]).astype(float) for t in range(steps)]
+    good = np.array([y == 1 for _, y in texts])
+    # both kinds of text weigh the same
+    share = np.where(good, 0.5 / good.sum() / np.maximum([len(x) for x, _ in texts], 1), 0.5 / (~good).sum())
     first, second = np.zeros(2 * k + 4), np.zeros(2 * k + 4)
     for epoch in range(1, epochs + 1):
         emit = [f @ w for f in flat]
         forward, at = [], emit[0]
         forward.append(at)
+        content = np.zeros(len(runs))  # the score of all content
+        content[: alive[0]] += emit[0][:, 1]
         for t in range(1, steps):
             at = np.logaddexp(forward[-1][: alive[t], 0, None] + move[0], forward[-1][: alive[t], 1, None] + move[1]) + emit[t]
             forward.append(at)
+            content[: alive[t]] += emit[t][:, 1] + move[1, 1]
         back = [np.zeros((n, 2)) for n in alive]
         for t in range(steps - 2, -1, -1):
             own = back[t + 1] + emit[t + 1]
             back[t][: alive[t + 1]] = np.logaddexp(own[:, 0, None] + move[:, 0], own[:, 1, None] + move[:, 1])
         norm = np.logaddexp(*(forward[0] + back[0]).T)
+        log_p = np.minimum(np.bincount(owner, content - norm, len(texts)), -1e-6)
+        factor = (share * np.where(good, 1.0, 1 / np.expm1(log_p) + 1))[owner]  # a poor text's is -p / (1 - p)
         gw, gm = -decay * w, -decay * move
         for t in range(steps):
             n = alive[t]
-            p = np.exp(forward[t] + back[t] - norm[:n, None])
-            gold = np.eye(2)[state[:n]]
-            gw = gw + flat[t].T @ ((gold - p) * share[:n, None])
+            gap = -np.exp(forward[t] + back[t] - norm[:n, None])
+            gap[:, 1] += 1
+            gw = gw + flat[t].T @ (gap * factor[:n, None])
             if t + 1 < steps:
                 m = alive[t + 1]
-                joint = np.exp(forward[t][:m, :, None] + move + (emit[t + 1] + back[t + 1])[:, None, :] - norm[:m, None, None])
-                same = np.zeros((m, 2, 2))
-                same[np.arange(m), state[:m], state[:m]] = 1
-                gm = gm + ((same - joint) * share[:m, None, None]).sum(axis=0)
+                joint = -np.exp(forward[t][:m, :, None] + move + (emit[t + 1] + back[t + 1])[:, None, :] - norm[:m, None, None])
+                joint[:, 1, 1] += 1
+                gm = gm + (joint * factor[:m, None, None]).sum(axis=0)
         g = np.concatenate([gw.ravel(), gm.ravel()])
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         step = rate * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.999**epoch)) + 1e-8)
@@ -181,7 +192,6 @@ def train_chain(sequences: list[tuple[np.ndarray, int]], epochs: int = 120, rate
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000) -> tuple[np.ndarray, np.ndarray]:
     """The chain from a bounded labelled sample; features come to the driver, not texts."""
-    spark = docs.sparkSession
     known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
     # half for each kind, so that a rare kind is in the sample; what one leaves free goes to the other
     ranked = [known.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled) for y in (0, 1)]
@@ -190,21 +200,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000) -> tuple[n
     take = [min(held[0], max(max_labelled - half, max_labelled - held[1])), min(held[1], max(half, max_labelled - held[0]))]
     known = ranked[0].limit(take[0]).union(ranked[1].limit(take[1]))
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most max_labelled rows
+    # doc_ids that occur again make more rows: of each kind those with the smallest hashes stay
+    sample = sample.withColumn("by", F.xxhash64("doc_id", "text"))
 
     def features(batch):
         texts = [t or "" for t in batch.column(1).to_pylist()]
         counts = [base_counts(t) for t in texts]
         x, _ = line_features(texts, counts)
-        blobs, at = [], 0
-        for c in counts:
-            n = c["n_lines"]
-            pick = np.unique(np.linspace(0, n - 1, min(n, MAX_TRAIN_LINES)).astype(int))
-            blobs.append(x[at + pick].tobytes())
-            at += n
-        return {"quality": batch.column(2), "x": blobs}
-
-    rows = scan(sample, ["doc_id", "text", "quality"], features, "quality long,x binary").limit(2 * max_labelled).collect()
-    rows.sort(key=lambda r: (r["quality"], bytes(r["x"])))
+        ends = np.cumsum([c["n_lines"] for c in counts])
+        return {"quality": batch.column(2), "by": batch.column(3), "x": [x[b - c["n_lines"] : b].tobytes() for b, c in zip(ends, counts)]}
+
+    found = written(scan(sample, ["doc_id", "text", "quality", "by"], features, "quality long,by long,x binary"), "labelled")
+    rows = [r for y in (0, 1) for r in found.where(F.col("quality") == y).orderBy("by").limit(max(1, take[y])).collect()]
+    rows.sort(key=lambda r: (r["quality"], r["by"], bytes(r["x"])))
     return train_chain([(np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, len(FEATURES)), int(r["quality"])) for r in rows])
 
 

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -309,3 +310,54 @@ def test_decontamination_blocks_change_nothing(spark):
     assert {(r[0], r[1], r[2], r[3], r[6], r[7]) for r in many} >= {(None, 4, 4, 3, "a,b,c", "0:22"), (None, 2, 0, 0, "", ""), (7, 3, 2, 1, "a,b", "4:14"), (7, 2, 2, 1, "", "0:11"), (7, 0, 0, 0, "", "")}
     kept = [sorted(map(tuple, decontaminate.decontaminate(docs, bench, **kw).collect()), key=str) for kw in ({}, {"max_block_bytes": 20})]
     assert kept[0] == kept[1] == sorted([(None, "nothing here"), (7, None), (8, "")], key=str)
+
+
+def lined(rng, kind, n):
+    """``n`` lines of prose, or of a kind of boilerplate."""
+    word = lambda: "".join(rng.choices("abcdefghiklmnoprstu", k=rng.randint(2, 9)))
+    prose = lambda: " ".join(word() for _ in range(rng.randint(12, 20))).capitalize() + "."
+    junk = lambda: " | ".join(word() for _ in range(rng.randint(12, 20)))
+    return [prose() if kind else junk() for _ in range(n)]
+
+
+def test_chain_marks_lines_inside_texts(spark):
+    """Poor texts hold both kinds of line; only texts are labelled; lines come out apart and their share decides."""
+    rng = random.Random(6)
+    rows, truth = [], {}
+    for i in range(240):
+        n = rng.randint(6, 12)
+        # of three texts one is good, one mostly prose, one mostly boilerplate
+        states = [1] * n if i % 3 == 0 else [int(k >= 2) for k in range(n)] if i % 3 == 1 else [int(k in (2, 3)) for k in range(n)]
+        rows.append((i, "\n".join(lined(rng, y, 1)[0] for y in states)))
+        truth[i] = states
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 120)] + [(0, 1)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    right = total = both = 0
+    for i, text in rows[120:]:
+        counts = quality.base_counts(text)
+        x, _ = quality.line_features([text], [counts])
+        got = list(quality.viterbi((x @ model[0]).tolist(), model[1].tolist()))
+        right += sum(a == b for a, b in zip(got, truth[i]))
+        total += len(got)
+        both += 0 < sum(got) < len(got)
+    assert right / total > 0.9 and both > 60
+    out = {r.doc_id: r for r in quality.quality_verdicts(docs, labels).collect()}
+    judged = [(out[i].kept, out[i].content_share >= 0.5, i % 3 != 2) for i in range(120, 240) if not out[i].base_failed]
+    assert all(a == b for a, b, _ in judged) and sum(a == c for a, _, c in judged) / len(judged) > 0.9
+    # repeated doc_ids beside labels, labels and documents without rows
+    twice = docs.union(docs)
+    assert quality.quality_verdicts(twice, labels, max_labelled=50).count() == 480
+    assert quality.quality_verdicts(docs.limit(0), labels).count() == 0 == quality.keep_quality(docs.limit(0), labels).count()
+    assert quality.fit(docs, labels)[0].tolist() == quality.fit(docs.repartition(5), labels)[0].tolist()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_quality_held_out(spark):
+    """The chain trained on half of the labelled documents, judged on the other half: balanced accuracy of the share alone."""
+    docs, labels = (common.table(spark, "/root/testdata/sf0.01", name) for name in ("documents", "labels"))
+    out = quality.quality_verdicts(docs, labels.where("doc_id % 2 = 0"))
+    rows = out.join(labels.where("doc_id % 2 = 1").select("doc_id", "quality"), "doc_id").collect()
+    share = [sum((r.content_share >= 0.5) == bool(y) for r in rows if r.quality == y) / sum(r.quality == y for r in rows) for y in (0, 1)]
+    print("poor, good:", share)
+    assert min(share) >= 0.9
