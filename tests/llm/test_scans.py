@@ -138,17 +138,53 @@ def test_secret_spans(docs):
         assert set(filter(None, want.split(","))) <= set(got[i].spans.split(","))
 
 
-def test_character_models_on_held_out_strings():
-    rng = random.Random(9)
-    words = ["get", "Http", "Response", "value", "connection", "handler", "Index", "string", "buffer", "_", "user", "update", "manager", "count"]
-    ordinary = lambda n: ["".join(rng.choices(words, k=rng.randint(3, 6))) for _ in range(n)]
-    ratio = secrets.fit(secrets.pair_counts(secrets.random_strings(2000)), secrets.pair_counts(ordinary(2000)))
-    fresh = [s for s in secrets.random_strings(400, seed=99) if len(s) >= 24]
-    plain = [s for s in ordinary(400) if len(s) >= 20]
-    assert sum(secrets.llr(s, ratio) > 10 for s in fresh) / len(fresh) > 0.97
-    assert sum(secrets.llr(s, ratio) > 10 for s in plain) / len(plain) < 0.01
-    base, added = secrets.find_secrets("key q7Zp0XvT3mK9sLw2YbN8cRfD4hJ6 and getHttpResponseValueHandler", ratio, 10)
-    assert not base and [k for *_, k in added] == ["markov"]
+def test_character_models_on_held_out_strings(spark, docs):
+    """The model as the query trains it: recall on fresh keys by length and form, false alarms on fresh identifiers and on texts that were not in the sample."""
+    model = secrets.train(docs, max_docs=30)
+    rng = random.Random(99)
+    sets = (secrets._ALPHABET[:64], secrets._ALPHABET[:62], "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    for low, high in ((8, 11), (12, 19), (20, 40)):
+        for chars in sets:
+            fresh = ["".join(rng.choices(chars, k=rng.randint(low, high))) for _ in range(400)]
+            assert (secrets.ratios(fresh, model) > 10).mean() > (0.85 if low == 8 else 0.95), (low, chars)
+    plain = [s for s in secrets.ordinary_strings(6000, seed=98) if len(s) >= secrets.MIN_RUN]
+    assert (secrets.ratios(plain, model) > 10).mean() < 0.01
+    text = "key q7Zp0XvT3mK9sLw2YbN8cRfD4hJ6 and getHttpResponseValueHandler of 2024-11-27, pin Zq8xW3kVp"
+    ((base, added),) = secrets.find_secrets([text], model, 10)
+    assert not base and [(a, b, k) for a, b, k in added] == [(4, 32, "markov"), (text.index("Zq8"), len(text), "markov")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_secrets_leave_plain_texts_alone(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    assert secrets.secret_spans(docs, max_docs=300).where("n_markov > 0").count() <= 2
+
+
+def test_added_secrets_equal_brute_force(spark):
+    rng = random.Random(3)
+    parts = ["plain", "wordWord", " ", "\n", "é", "x9Kq", "TOKEN=", "token: ", "0123456789abcdef" * 3, "AKIA" + "Z9" * 8, "4111111111111111", "a_b-c/d", "+", "Qz8"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 40))) + "".join(rng.choices(secrets._ALPHABET, k=rng.randint(0, 30))) for _ in range(300)]
+    texts += [" ".join("".join(rng.choices("0123456789abcdefXYZ", k=rng.randint(3, 50))) for _ in range(20_000))]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate([*texts, None, ""])], "doc_id long, text string, spans string")
+    model = secrets.train(docs, max_docs=20)
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(docs, max_docs=20).collect()}
+    for i, t in enumerate(texts):
+        base = secrets.base_spans(t)
+        inside = bytearray(len(t))
+        for a, b, _ in base:
+            inside[a:b] = b"\1" * (b - a)
+        want = list(base)
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}(?![A-Za-z0-9+/_=-])", t):
+            total, before = 0.0, secrets._N
+            for c in m[0]:
+                total += model[before, secrets._ALPHABET.index(c)]
+                before = secrets._ALPHABET.index(c)
+            if total > 10 and not any(inside[m.start() : m.end()]):
+                want.append((*m.span(), "markov"))
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for a, b, k in secrets.ordered(want)), i
+    assert got[len(texts)] == got[len(texts) + 1] == ""
+    empty = secrets.secret_spans(docs.limit(0))
+    assert empty.count() == 0 and secrets.secret_spans(docs.union(docs), max_docs=20).count() == 2 * len(got)
 
 
 def pii_brute(text):
