@@ -102,6 +102,21 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def outside(spans: list[tuple], held: list[tuple]) -> list[tuple]:
+    """Those of ``spans`` (start, end, ...; in order, apart from each other) that overlap none of ``held``."""
+    if not held:
+        return spans
+    others = sorted(h[:2] for h in held)
+    out, k, end = [], 0, 0  # ``end``: how far the others that start before a span's end reach
+    for span in spans:
+        while k < len(others) and others[k][0] < span[1]:
+            end = max(end, others[k][1])
+            k += 1
+        if end <= span[0]:
+            out.append(span)
+    return out
+
+
 def sampled(df: DataFrame, key: str, limit: int) -> DataFrame:
     """A bounded, repeatable sample: the ``limit`` rows with the smallest hash of ``key``."""
     return df.orderBy(F.xxhash64(key), key).limit(limit)

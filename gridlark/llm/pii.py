@@ -7,11 +7,11 @@ separators, checksum, borders), and dynamic programming over (position, type) fi
 segmentation. Its entities that touch no span of the fixed patterns are added.
 
 The chain is trained here by conditional likelihood on labelled regions: seeded samples of common
-forms and look-alikes, and at most ``max_regions`` regions of a bounded sample of documents, where
-the fixed patterns give the labels.
+forms and look-alikes, beyond what the fixed patterns know, and at most ``max_regions`` regions of a
+bounded sample of documents, where the fixed patterns give the labels (long regions in pieces).
 
 Defined results: null and empty texts have no spans. Spans are code-point offsets, end exclusive.
-Texts without a digit or ``@`` hold no entity. Repeated rows are scanned row by row; an empty table
+``n_pii`` counts them all. Texts without a digit or ``@`` hold no entity. Repeated rows are scanned row by row; an empty table
 gives no rows and the seeded samples alone train the chain; other columns are not read.
 """
 
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import scan, table
+from gridlark.llm.common import outside, scan, table
 
 KINDS = ("email", "ip", "card", "phone")
 TYPES = ("none", *KINDS)
@@ -38,7 +38,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[\s\S]")
 _ANCHOR = re.compile(r"[0-9@]")
-_SCHEMA = "doc_id long,n_email long,n_ip long,n_card long,n_phone long,base_sha256 string,spans string,n_added long"
+_SCHEMA = "doc_id long,n_email long,n_ip long,n_card long,n_phone long,base_sha256 string,spans string,n_added long,n_pii long"
 
 
 def luhn(digits: str) -> bool:
@@ -109,7 +109,7 @@ def regions(text: str):
 
 FEATURES = (
     "bias", "email_shape", "at_sign", "ip_shape", "four_groups", "luhn", "long_not_luhn", "digits_9_15", "digits_7_8", "digits_10", "digits_few", "digits_many",
-    "plus_first", "paren", "dash_or_space_only", "dots", "letters", "other", "left_clean", "right_clean", "groups", "phone_groups", "one_token", "space_inside", "ends_plain", "starts_plain", "date_groups", "inner_plus",
+    "plus_first", "paren", "dash_or_space_only", "dots", "letters", "other", "left_clean", "right_clean", "groups", "phone_groups", "one_token", "space_inside", "ends_plain", "starts_plain", "date_groups", "inner_plus", "enclosed", "unbalanced",
 )
 
 
@@ -137,7 +137,7 @@ class Region:
     def ending(self, j: int) -> tuple[list[int], list[list[float]]]:
         """(starts, feature rows) of allowed segments [i, j); a single token is always allowed."""
         starts, rows = [], []
-        digits, letters, other, dots, dashes, spaces, ats, parens, plus = 0, 0, 0, 0, 0, 0, 0, 0, 0
+        digits, letters, other, dots, dashes, spaces, ats, parens, opened, plus = 0, 0, 0, 0, 0, 0, 0, 0, 0, 0
         groups: list[str] = []
         right = self._clean(j, 1)
         last = self.kind[j - 1]
@@ -160,6 +160,7 @@ class Region:
                 ats += 1
             elif kind in "()":
                 parens += 1
+                opened += kind == "("
             elif kind == "+":
                 plus += 1
             else:
@@ -176,7 +177,7 @@ class Region:
                 [
                     1.0, shape, ats > 0, by_dots and dots == 3 and len(groups) == 4 and max(sizes) <= 3 and all(int(g) <= 255 for g in groups), len(groups) == 4 and dots == 3, passes, long and not passes,
                     9 <= digits <= 15, 7 <= digits <= 8, digits == 10, digits <= 6, digits > 19, kind == "+", parens > 0, plain and not dots, dots > 0, letters > 0, other > 0,
-                    self._clean(i - 1, -1), right, len(groups) > 1, len(sizes) >= 3 and sizes[-2:] == [3, 4], i == j - 1, spaces > 0, last in "dl", kind in "dl+(", sizes in ([4, 2, 2], [2, 2, 4]), plus > (kind == "+"),
+                    self._clean(i - 1, -1), right, len(groups) > 1, len(sizes) >= 3 and sizes[-2:] == [3, 4], i == j - 1, spaces > 0, last in "dl", kind in "dl+(", sizes in ([4, 2, 2], [2, 2, 4]), plus > (kind == "+"), kind == "(" and last == ")", opened != parens - opened,
                 ]
             )
             starts.append(i)
@@ -272,7 +273,7 @@ class Example:
         return (gold - p).T @ self.x, gm
 
 
-def samples(count: int = 200, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def samples(count: int = 400, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Labelled regions: common forms of each type and look-alikes."""
     rng = random.Random(seed)
     n = lambda k: "".join(rng.choices("0123456789", k=k))
@@ -313,10 +314,24 @@ def samples(count: int = 200, seed: int = 5) -> list[tuple[str, list[tuple[int,
     return out
 
 
+def pieces(region: str, size: int = 200) -> list[str]:
+    """A region as it is, or a long one in pieces of ``size`` characters at most, cut at spaces where there are some."""
+    out = []
+    while len(region) > size:
+        at = region.rfind(" ", 1, size) if " " in region[1:size] else size
+        out.append(region[:at])
+        region = region[at:].removeprefix(" ")
+    return [*out, region]
+
+
 def train(docs: DataFrame, max_docs: int = 3000, max_regions: int = 150, epochs: int = 14, rate: float = 0.3, decay: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (type x feature) and moves; texts of at most ``max_regions`` regions come to the driver."""
-    key = F.xxhash64("doc_id")
-    edge = docs.select(key.alias("h")).orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
+    """Weights (type x feature) and moves.
+
+    The sample is the ``max_docs`` documents with the smallest hashes of doc_id and text (equal rows count as
+    one); of their regions the ``max_regions`` with the smallest hashes come to the driver.
+    """
+    key = F.xxhash64("doc_id", "text")
+    edge = docs.select(key.alias("h")).distinct().orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
     labelled = [(t, s) for t, s in samples()]
     if edge is not None:
 
@@ -324,11 +339,10 @@ def train(docs: DataFrame, max_docs: int = 3000, max_regions: int = 150, epochs:
             out = []
             for text in batch.column(1).to_pylist():
                 for a, b in regions(text or ""):
-                    if b - a <= 200:
-                        out.append(text[a:b])
+                    out += pieces(text[a:b])
             return {"region": out}
 
-        rows = scan(docs.where(key <= edge).limit(max_docs), ["doc_id", "text"], find, "region string")
+        rows = scan(docs.where(key <= edge), ["doc_id", "text"], find, "region string")
         for r in rows.orderBy(F.xxhash64("region"), "region").limit(max_regions).collect():
             spans = ordered(base_spans(r["region"]))
             # overlapping labels can't be one segmentation
@@ -357,8 +371,8 @@ def find_pii(text: str, model: tuple[np.ndarray, np.ndarray]) -> tuple[list, lis
     added = []
     if _ANCHOR.search(text):
         for a, b in regions(text):
-            added += [s for s in decode(Region(text, a, b), *model) if not any(s[0] < y and x < s[1] for x, y, _ in base)]
-    return base, added
+            added += decode(Region(text, a, b), *model)
+    return base, outside(added, base)
 
 
 def pii_spans(docs: DataFrame, max_docs: int = 3000, max_regions: int = 150) -> DataFrame:
@@ -369,7 +383,7 @@ def pii_spans(docs: DataFrame, max_docs: int = 3000, max_regions: int = 150) ->
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             base, added = find_pii(text or "", model)
             n = [sum(s[2] == k for s in base) for k in KINDS]
-            for key, value in zip(out, (doc_id, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + added), len(added))):
+            for key, value in zip(out, (doc_id, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + added), len(added), len(base) + len(added))):
                 out[key].append(value)
         return out
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import scan, table
+from gridlark.llm.common import outside, scan, table
 
 KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -117,21 +117,6 @@ def ratios(runs: list[str], ratio: np.ndarray) -> np.ndarray:
     return np.bincount(of, ratio[before, char], len(runs))
 
 
-def without(runs: list[tuple[int, int]], spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """The runs, in order, that overlap no span."""
-    if not spans:
-        return runs
-    held = sorted((a, b) for a, b, _ in spans)
-    out, k, end = [], 0, 0  # ``end``: how far the spans that start before a run's end reach
-    for a, b in runs:
-        while k < len(held) and held[k][0] < b:
-            end = max(end, held[k][1])
-            k += 1
-        if end <= a:
-            out.append((a, b))
-    return out
-
-
 def train(docs: DataFrame, max_docs: int = 2000) -> np.ndarray:
     """Both models from the ``max_docs`` documents with the smallest hashes of doc_id and text (equal rows count as one); only counts come back."""
     key = F.xxhash64("doc_id", "text")
@@ -145,7 +130,7 @@ def train(docs: DataFrame, max_docs: int = 2000) -> np.ndarray:
             for a, b, kind in base:
                 value = _ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]
                 hits.append("".join(c for c in value if c in _ALPHABET))
-            rest += [text[a:b] for a, b in without([m.span() for m in _WORD.finditer(text)], base)]
+            rest += [text[a:b] for a, b in outside([m.span() for m in _WORD.finditer(text)], base)]
         n = np.concatenate([pair_counts(hits).ravel(), pair_counts(rest).ravel()]).astype(int)
         at = np.flatnonzero(n)
         return {"cell": at, "n": n[at]}
@@ -165,7 +150,7 @@ def find_secrets(texts: list[str], ratio: np.ndarray, min_llr: float) -> list[tu
         own = key_runs(text)
         base = base_spans(text, own)
         out.append((base, []))
-        own = without(own, base)
+        own = outside(own, base)
         runs += [(a, b, text[a:b]) for a, b in own]
         of += [k] * len(own)
     for i in np.flatnonzero(ratios([r[2] for r in runs], ratio) > min_llr) if runs else ():
