@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 import uuid
@@ -87,10 +88,12 @@ def spark_to_arrow(schema: str) -> pa.Schema:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is missing (tests, local runs) a local folder is set up.
+    Where the setting is missing, local runs (tests) take a local folder; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file:///tmp/gridlark-shared-{os.getpid()}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 

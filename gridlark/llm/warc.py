@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import ship, shared_dir, slices, spark_to_arrow, table
+from gridlark.llm.common import ship, shared_dir, slices, spark_to_arrow, table, written
 from gridlark.llm.token_files import open_store
 
 _FILE = "path string,n_records long"
 _OUT = "page_id long,payload_bytes long,payload_digest string,record_type string,refers_to long"
 _DATE = "2024-01-01T00:00:00Z"
 _CHUNK = 1 << 18
+SALTS = 32
 
 
 def payload_digest(payload: bytes) -> str:
@@ -119,14 +120,24 @@ def normalise(source, sink, index) -> int:
     return n
 
 
-def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Adds ``digest`` and ``refers_to`` (null: a response)."""
+def with_revisits(pages: DataFrame, min_bytes: int = 0, max_broadcast: int = 32 << 20) -> DataFrame:
+    """Adds ``refers_to`` (null: a response).
+
+    Payloads that occur again are broadcast up to ``max_broadcast`` bytes, checked; beyond that pages meet
+    them by payload and a salt, so equal pages, however many, lie in many tasks.
+    """
     ship(pages.sparkSession)
     coded = pages.select("page_id", "url", "html").withColumn("payload", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")))
     keyed = coded.select("page_id", "url", "html", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("size"))
     # only payloads that occur twice or more need a partner; counts are summed before the shuffle
     repeated = keyed.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1 and newest is not null").select("sha", "newest")
-    return keyed.join(repeated, "sha", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest")).alias("refers_to"))
+    repeated = written(repeated, "repeated")
+    if 64 * repeated.count() <= max_broadcast:
+        both = keyed.join(F.broadcast(repeated), "sha", "left")
+    else:
+        salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"], "left")
+    return both.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> list[dict]:

@@ -96,6 +96,24 @@ def test_signatures_estimate_with_less_variance():
     assert sorted(v.astype(int)) == list(range(near_dedup.SLOTS))
 
 
+def test_band_recall_at_the_threshold():
+    """Pairs just at the similarity of the query, and of the pipeline, share a band."""
+    rng = np.random.default_rng(2)
+    for share in (0.85, 0.8):
+        met = 0
+        for _ in range(8):
+            sets = []
+            for _ in range(40):
+                n = int(rng.integers(60, 400))
+                c = int(np.ceil(2 * n * share / (1 + share)))
+                u = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
+                sets += [np.unique(u[:n]), np.unique(np.concatenate([u[:c], u[n : 2 * n - c]]))]
+            keys = near_dedup.band_keys(near_dedup.signatures(sets))
+            met += int((keys[::2] == keys[1::2]).any(axis=1).sum())
+        # 30 bands of 6 miss one of 10^6 at 0.85 and one of 10^4 at 0.80
+        assert met >= 319, (share, met)
+
+
 def random_words(rng, n):
     return ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n)]
 
@@ -274,3 +292,30 @@ def test_pipeline_equals_its_stages(spark):
         at += n[i]
     got = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r.doc_id, r.start, r.n_tokens) for r in got) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null values in any column, repeated rows, columns of the stages' own names, empty tables."""
+    import corpus_pipeline
+    from gridlark.llm.common import table
+
+    good = [r.text for r in table(spark, SF, "documents").where("length(text) > 800").limit(6).collect()]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(good)] + [(None, good[0] + " tail", None, None, None), (None, good[0] + " tail", None, None, None), (7, None, "en", "a", 1), (8, "", "en", "b", 1), (1, good[1], "en", "a", 1), (9, good[2], None, "b", None)]
+    odd = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = ("kept", "doc", "h", "bands", "__row", "component_id", "quality", "by")
+    docs = spark.createDataFrame(rows, odd).selectExpr("*", *(f"{k} AS `{name}`" for k, name in enumerate(extra)))
+    labels = spark.createDataFrame([(0, 1, 0), (None, 0, 0), (1, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, None), (None, "no such words here at all in any of the texts")], "item_id long, text string")
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        df.write.parquet(f"{tmp_path}/full/{name}.parquet")
+        df.limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    assert out and {r.doc_id for r in out} <= {None, *range(len(good)), 9} and all(r.n_tokens > 1 for r in out)
+    # exact copies are one document by then: of 2 and 9 the smaller stays
+    assert 9 not in {r.doc_id for r in out}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    docs = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/full")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *extra], name

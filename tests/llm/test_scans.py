@@ -310,6 +310,11 @@ def test_archives(spark):
         want.append((i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "revisit" if revisit else "response", newest if revisit else None))
     assert got == sorted(want, key=str)
     assert warc.archive(df.limit(0)).count() == 0
+    # other columns of clashing names, and the join by salt
+    clash = df.selectExpr("*", "1 AS sha", "2 AS newest", "3 AS salt", "4 AS size")
+    assert sorted(map(tuple, warc.archive(clash).collect()), key=str) == got
+    salted, plain = (sorted(map(tuple, warc.with_revisits(clash, max_broadcast=n).collect()), key=str) for n in (0, 1 << 20))
+    assert salted == plain and len(plain) == len(pages)
     assert {r.record_type for r in warc.archive(df, min_bytes=1_000_000).collect()} == {"response"}
 
 
