@@ -1,6 +1,11 @@
 """The corpus pipeline: five stages, each one operator, each written as Parquet and read again.
 
 quality rules -> near-duplicates (five words, 0.8) -> benchmark decontamination -> mixing -> token files
+
+Defined results: null and empty texts fail the quality rules. A null doc_id is never a near-duplicate, draws
+its copies by its text and comes first in the token files. Repeated rows are judged row by row, and rows that
+share a doc_id count as one document for grouping. Other columns, whatever their names, go through all stages
+but the last. An empty table gives no rows.
 """
 
 from __future__ import annotations
