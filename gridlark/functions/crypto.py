@@ -21,7 +21,7 @@ def pseudonym(ip: Column, salt: str) -> Column:
 
 
 def network_prefix(ip: Column) -> Column:
-    """/24 of an IPv4 address; other text is null (see ``sources.addresses`` for IPv6)."""
+    """/24 of an IPv4 address; other text is null (``sources.foreign.network_of`` knows IPv6)."""
     parts = F.split(ip, r"\.")
     ok = ip.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
     return F.when(ok, F.concat_ws(".", F.slice(parts, 1, 3)[0], F.slice(parts, 1, 3)[1], F.slice(parts, 1, 3)[2], F.lit("0/24")))

@@ -142,13 +142,6 @@ def factor_summary(factors: Column) -> Column:
     return F.when(F.size(factors) > 0, text).otherwise("No scored protocol evidence.")
 
 
-def next_step(label: Column) -> Column:
-    out = F.lit("Review the recorded evidence first.")
-    for name, text in C.NEXT_STEPS.items():
-        out = F.when(label == name, text).otherwise(out)
-    return out
-
-
 COMPLETENESS_CHECKS = ("valid decoded request", "bounded session identifier", "coarse public location", "evidence-qualified mapping")
 
 

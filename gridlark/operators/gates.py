@@ -40,11 +40,30 @@ def private_key(key: Column) -> Column:
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
+#: An address must fill its run of hex digits, colons and dots, but for colons and dots around it.
+_V4 = rf"(?<![0-9A-Fa-f:.])[.:]*{_OCTET}(?:\.{_OCTET}){{3}}(?:[.:]*(?![0-9A-Fa-f:./])|[.:]*/(?![0-9])|/(?:3[0-2]|[12]?[0-9])(?![0-9]))"
+_V6_RUN = r"(?<![0-9A-Fa-f:.])([0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*)"
+
+
 def ipv4_literal(text: Column) -> Column:
-    """Does the text hold an IPv4 address or network? Candidates are runs of hex digits, colons and dots."""
-    runs = F.regexp_extract_all(text, F.lit(r"([0-9A-Fa-f:.]+(?:/[0-9]{1,3})?)"), F.lit(1))
-    clean = F.transform(runs, lambda r: F.regexp_replace(r, r"^[.:]+|[.:]+$", ""))
-    return F.coalesce(F.exists(clean, lambda r: r.rlike(rf"^{_OCTET}(\.{_OCTET}){{3}}(/([0-9]|[12][0-9]|3[0-2]))?$")), F.lit(False))
+    """Does the text hold an IPv4 address or network?"""
+    return F.coalesce(text.rlike(_V4), F.lit(False))
+
+
+def _ipv6(run: Column) -> Column:
+    """Is a run of hex digits, colons and dots an IPv6 address, once colons and dots around it are gone?"""
+    run = F.regexp_replace(run, r"^[.:]+|[.:]+$", "")
+    # an IPv4 tail stands for two groups
+    run = F.regexp_replace(run, rf":{_OCTET}(\.{_OCTET}){{3}}$", ":0:0")
+    groups = F.size(F.filter(F.split(run, ":"), lambda g: g != ""))
+    hexes = r"[0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*"
+    return (run.rlike(f"^{hexes}$") & (groups == 8)) | (run.rlike(f"^{hexes}::{hexes}$") & (groups <= 7))
+
+
+def address_literal(text: Column) -> Column:
+    """Does the text hold an address or network, version 4 or 6? A run is looked at as version 6 only where it has two colons."""
+    six = F.when(text.like("%:%:%"), F.exists(F.regexp_extract_all(text, F.lit(_V6_RUN), F.lit(1)), _ipv6)).otherwise(F.lit(False))
+    return F.coalesce(ipv4_literal(text) | six, F.lit(False))
 
 
 def _kind(v: Column, name: str) -> Column:
@@ -114,37 +133,87 @@ def error_counts(inspected: DataFrame) -> DataFrame:
     return inspected.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
-def public_errors(records: DataFrame) -> DataFrame:
-    """Publication rules on flat records: (event_id, code)."""
-    source = F.coalesce("source_id", F.lit(""))
-    named = [F.when(F.col(c).isNotNull() & F.lit(bool(c in PRIVATE_NAMES)), F.lit("forbidden_field")) for c in records.columns]
-    codes = F.array_compact(
+def public_errors(lines: DataFrame) -> DataFrame:
+    """Publication rules on JSON text (line_no, value): (line_no, code, place), blank lines passed over.
+
+    Names are looked at in objects at any depth and strings at any depth for addresses: in canonical JSON a
+    string that a colon follows is a name, and escapes are spelled out. ``place`` is the name; values stay inside.
+    """
+    one = lines.where(F.length(F.trim("value")) > 0).select("line_no", F.try_parse_json("value").alias("v"))
+    kind = F.coalesce(F.schema_of_variant("v"), F.lit(""))
+    one = one.select("line_no", "v", kind.alias("kind"), F.when(kind.startswith("OBJECT"), F.to_json("v")).alias("text"))
+    tokens = F.regexp_extract_all("text", F.lit(r'("(?:[^"\\]|\\.)*"\s*:?)'), F.lit(1))
+    one = one.select("line_no", "v", "kind", tokens.alias("tokens"))
+    plain = lambda t: F.regexp_replace(t, r'^"|"\s*:?$', "")
+    names = F.array_distinct(F.transform(F.filter("tokens", lambda t: t.endswith(":")), plain))
+    strings = F.transform(F.filter("tokens", lambda t: ~t.endswith(":")), plain)
+    one = one.select("line_no", "v", "kind", names.alias("names"), F.exists(strings, address_literal).alias("addressed"))
+    source = F.when(_kind(F.col("v"), "source_id") == "STRING", F.try_variant_get("v", "$.source_id", "string"))
+    true = (_kind(F.col("v"), "sanitized") == "BOOLEAN") & F.coalesce(F.try_variant_get("v", "$.sanitized", "boolean"), F.lit(False))
+    error = lambda bad, code, place: F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(place).alias("place")))
+    flat = F.array_compact(
         F.array(
-            F.when(~F.coalesce("sanitized", F.lit(False)), "not_sanitized"), F.when(F.col("is_demo").isNull(), "no_classification"), F.when(F.length(F.trim(source)) == 0, "no_source_id"), F.when(ipv4_literal(source), "source_id_is_address"), *named
+            error(~true, "not_sanitized", "sanitized"), error(_kind(F.col("v"), "is_demo") != "BOOLEAN", "no_classification", "is_demo"), error(F.length(F.trim(F.coalesce(source, F.lit("")))) == 0, "no_source_id", "source_id"),
+            error(address_literal(source), "source_id_is_address", "source_id"), error(F.col("addressed"), "address_found", ""),
         )
-    )
-    return records.select("event_id", F.explode(F.array_distinct(codes)).alias("code"))
+    )
+    named = F.transform(F.filter("names", private_key), lambda n: F.struct(F.lit("forbidden_field").alias("code"), n.alias("place")))
+    found = F.when(F.col("v").isNull(), F.array(error(F.lit(True), "malformed_json", ""))).when(~F.col("kind").startswith("OBJECT"), F.array(error(F.lit(True), "record_not_object", ""))).otherwise(F.concat(flat, named))
+    return one.select("line_no", F.explode(found).alias("e")).select("line_no", "e.code", "e.place")
+
+
+def public_report(lines: DataFrame) -> DataFrame:
+    """One row about a whole dataset: records, records with errors, whether it is empty or mixes classes, and whether it may be published."""
+    one = lines.where(F.length(F.trim("value")) > 0).select("line_no", F.try_parse_json("value").alias("v"))
+    demo = F.when(_kind(F.col("v"), "is_demo") == "BOOLEAN", F.try_variant_get("v", "$.is_demo", "boolean"))
+    total = one.agg(F.count("*").alias("records"), F.coalesce(F.bool_or(demo) & ~F.bool_and(demo), F.lit(False)).alias("mixed_classification"))
+    bad = public_errors(lines).agg(F.countDistinct("line_no").alias("bad_records"))
+    both = total.join(F.broadcast(bad))  # a row each
+    return both.select("records", "bad_records", "mixed_classification", (F.col("records") == 0).alias("empty"), ((F.col("records") > 0) & (F.col("bad_records") == 0) & ~F.col("mixed_classification")).alias("publishable"))
+
+
+#: Fixed values of health reports.
+GENERATED_MAX_AGE, EVENT_MAX_AGE = 120, 900
+DISK_WARNING, DISK_CRITICAL = 10.0, 5.0
+QUEUE_DROPS = ("alert_queue_drops", "collector_queue_drops", "spool_queue_drops")
+
+
+def _count(name: str) -> Column:
+    """A counter of a snapshot: anything but a positive whole number counts as 0."""
+    return F.greatest(F.lit(0).cast("bigint"), F.coalesce(F.col(name).try_cast("bigint"), F.lit(0).cast("bigint")))
 
 
 def health_findings(s: DataFrame, now: Column) -> DataFrame:
-    """Ordered findings and the worst status of health snapshots (one row each)."""
-    age = lambda c: F.greatest(F.lit(0), now - F.col(c))
-    finding = lambda cond, level, code: F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(level).alias("level"), F.lit(code).alias("code")))
+    """Ordered findings (``code=severity``) and the worst status of health snapshots, one row each.
+
+    A missing time is a finding of its own, never a fresh one. Columns: snapshot_id, process_running, status,
+    generated_epoch, last_event_epoch, expect_traffic, disk_free_percent, the queue drops, delivery_failures,
+    rejected_sessions, storage_ready (null: not reported).
+    """
+    old = lambda c, limit: F.col(c).isNull() | (F.greatest(F.lit(0), now - F.col(c)) > limit)
+    finding = lambda cond, code, level: F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(2 if level == "critical" else 1).alias("level"), F.lit(f"{code}={level}").alias("text")))
+    free = F.col("disk_free_percent")
+    drops = F.lit(False)
+    for name in QUEUE_DROPS:
+        drops |= _count(name) > 0
     found = F.array_compact(
         F.array(
-            finding(~F.col("process_running"), 2, "process_not_running"), finding(age("generated_epoch") > 120, 2, "snapshot_stale"), finding(F.col("events_expected") & (age("last_event_epoch") > 900), 1, "no_recent_event"),
-            finding(F.col("disk_free_percent") < 5, 2, "disk_critical").alias("a"), finding(F.col("disk_free_percent").between(5, 9), 1, "disk_low"), finding(F.col("queue_drops") > 0, 1, "queue_drops"), finding(F.col("delivery_failures") > 0, 1, "delivery_failures"),
-            finding(F.col("active_sessions") >= F.col("max_sessions"), 1, "sessions_full"), finding(F.col("storage_ready") == F.lit(False), 2, "storage_not_ready"), finding(F.col("storage_ready").isNull(), 1, "storage_unknown"),
+            finding(~F.coalesce(F.col("process_running") & (F.col("status") == "ok"), F.lit(False)), "process", "critical"), finding(old("generated_epoch", GENERATED_MAX_AGE), "snapshot_freshness", "critical"),
+            finding(F.col("expect_traffic") & old("last_event_epoch", EVENT_MAX_AGE), "event_freshness", "warning"), finding(free < DISK_CRITICAL, "disk", "critical"), finding((free >= DISK_CRITICAL) & (free < DISK_WARNING), "disk", "warning"),
+            finding(drops, "queue_drops", "warning"), finding(_count("delivery_failures") > 0, "delivery", "warning"), finding(_count("rejected_sessions") > 0, "session_capacity", "warning"),
+            finding(~F.col("storage_ready"), "collector_storage", "critical"), finding(F.col("storage_ready").isNull(), "collector_storage", "warning"),
         )
     )
-    worst = F.coalesce(F.array_max(F.transform(found, lambda f: f["level"])), F.lit(0))
-    return s.select("snapshot_id", F.array_join(F.transform(found, lambda f: f["code"]), ", ").alias("findings"), F.when(worst == 2, "critical").when(worst == 1, "warning").otherwise("ok").alias("status"), worst.alias("exit_code"))
+    one = s.select("snapshot_id", found.alias("found"))
+    worst = F.coalesce(F.array_max(F.transform("found", lambda f: f["level"])), F.lit(0))
+    return one.select("snapshot_id", F.array_join(F.transform("found", lambda f: f["text"]), ", ").alias("findings"), F.when(worst == 2, "critical").when(worst == 1, "warning").otherwise("ok").alias("status"), worst.alias("exit_code"))
 
 
 def operator_assurance(s: DataFrame) -> DataFrame:
-    """Allow-listed snapshot fields as states; anything but a non-negative whole number counts as 0."""
-    n = lambda c: F.greatest(F.lit(0), F.coalesce(F.col(c).try_cast("bigint"), F.lit(0)))
+    """Allow-listed counters of a snapshot as states. The texts are fixed values."""
+    said = lambda bad, yes, no: F.when(bad, yes).otherwise(no)
     return s.select(
-        "snapshot_id", F.when(n("queue_drops") > 0, "drops recorded").otherwise("no drops recorded").alias("drop_state"), F.when(n("delivery_failures") > 0, "failures recorded").otherwise("no failures recorded").alias("delivery_state"),
-        F.when(n("active_sessions") >= n("max_sessions"), "at capacity").when(n("active_sessions") > 0, "active").otherwise("idle").alias("session_state"), F.when(F.col("storage_ready"), "ready").when(~F.col("storage_ready"), "not ready").otherwise("unknown").alias("storage_state"),
+        "snapshot_id", said(F.coalesce(F.col("status") == "ok", F.lit(False)), "reported healthy", "reported unhealthy").alias("state"), "generated_epoch", "last_event_epoch", _count("total_events").alias("total_events"),
+        said(_count("alert_queue_drops") + _count("collector_queue_drops") > 0, "attention needed", "no drops reported").alias("queue_state"), said(_count("delivery_failures") > 0, "attention needed", "no failures reported").alias("delivery_state"),
+        said(_count("rejected_sessions") > 0, "sessions rejected", "no rejections reported").alias("capacity_state"), F.when(F.col("storage_ready"), "ready").when(~F.col("storage_ready"), "not writable").otherwise("not reported").alias("storage_state"),
     )

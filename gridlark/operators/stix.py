@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from gridlark.functions import catalog as C
 from gridlark.functions import crypto
 
-#: Fixed namespaces: the one for cyber-observables comes from the standard.
+#: The namespace of cyber-observables is the standard's (a fixed value), the other one our own.
 SCO_NAMESPACE = "00abedb4-aa42-466c-9c01-fed23315a9b7"
-PROJECT_NAMESPACE = "019d173a-60a8-760c-a2aa-30e8c4869313"
+PROJECT_NAMESPACE = "f203c17f-eb79-5e94-9db5-ef8739117371"
 PRODUCER = "gridlark"
 PUBLIC, PRIVATE = "public", "private"
 

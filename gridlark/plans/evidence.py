@@ -62,7 +62,7 @@ def session_key(spark, sf_dir):
     return raw_telemetry(spark, sf_dir).select("event_id", crypto.session_key(F.col("sensor_id"), F.col("source_ip"), port, F.col("observed_epoch").cast("string")).alias("session_key"))
 
 
-NAMESPACE = "019d173a-60a8-760c-a2aa-30e8c4869313"
+NAMESPACE = "f203c17f-eb79-5e94-9db5-ef8739117371"
 
 
 def uuid5_sql(namespace: str, name: str) -> str:

@@ -56,15 +56,33 @@ def duplicate_event_ids(spark, sf_dir):
     return gates.inspect_lines(lines(spark, sf_dir)).where(F.array_contains("codes", "duplicate_event_id")).select("line_no")
 
 
-@query(
-    "public_gate",
-    T + ", r AS (SELECT event_id, CASE WHEN k % 5 = 0 THEN source_ip WHEN k % 7 = 0 THEN ' ' ELSE source_id END AS source_id, k % 3 <> 0 AS sanitized, CASE WHEN k % 11 <> 0 THEN true END AS is_demo FROM raw) SELECT event_id, unnest(list_filter([CASE WHEN NOT sanitized THEN 'not_sanitized' END, CASE WHEN is_demo IS NULL THEN 'no_classification' END, CASE WHEN trim(source_id) = '' THEN 'no_source_id' END, CASE WHEN regexp_matches(source_id, '^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+$') THEN 'source_id_is_address' END], lambda x: x IS NOT NULL)) AS code FROM r",
-)
-def public_gate(spark, sf_dir):
+def public_lines(spark, sf_dir):
+    """One public record for each event; by seq % 16: 0 address, 1 payload, 2 network, 3 address in the source, 4 token nested in a list, 5 nested payload, 6 IPv6 in a text, 7 not sanitized, 8 text class, 9 blank source, 10 escaped name, 11 number as source, 12 no JSON, 13 a list."""
     t = raw_telemetry(spark, sf_dir)
-    k = F.col("k")
-    records = t.select("event_id", F.when(k % 5 == 0, F.col("source_ip")).when(k % 7 == 0, " ").otherwise(F.col("source_id")).alias("source_id"), (k % 3 != 0).alias("sanitized"), F.when(k % 11 != 0, F.lit(True)).alias("is_demo"))
-    return gates.public_errors(records)
+    m = F.col("seq") % 16
+    is_ = lambda n: m == n
+    source = F.when(is_(3), '"src-192.0.2.5"').when(is_(9), '" "').when(is_(11), "7").otherwise(F.concat(F.lit('"'), F.col("source_id"), F.lit('"')))
+    decoded = F.when(is_(4), '{"nested":[{"api_token":"x"}]}').when(is_(5), '{"payload":"x"}').when(is_(6), '{"note":"from 2001:db8::1 on"}').when(is_(10), '{"pass\\u0077d":1}').otherwise('{"operation":"key \\"secret\\": no","code":6}')
+    extra = F.when(is_(0), ',"source_ip":"192.0.2.5"').when(is_(1), ',"raw_payload_hex":"00"').when(is_(2), ',"source_network":"192.0.2.0/24"').otherwise("")
+    body = F.concat(F.lit('{"source_id":'), source, F.lit(',"decoded":'), decoded, F.when(is_(8), ',"is_demo":"true"').otherwise(',"is_demo":true'), F.when(is_(7), ',"sanitized":"yes"').otherwise(',"sanitized":true'), extra, F.lit("}"))
+    return t.select(F.col("seq").alias("line_no"), F.when(is_(12), F.substring(body, 1, 20)).when(is_(13), F.lit("[1]")).otherwise(body).alias("value"))
+
+
+_PUBLIC = """
+, p AS (SELECT seq AS line_no, unnest(CASE seq % 16 WHEN 0 THEN ['forbidden_field source_ip', 'address_found '] WHEN 1 THEN ['forbidden_field raw_payload_hex'] WHEN 2 THEN ['address_found '] WHEN 3 THEN ['source_id_is_address source_id', 'address_found ']
+  WHEN 4 THEN ['forbidden_field api_token'] WHEN 5 THEN ['forbidden_field payload'] WHEN 6 THEN ['address_found '] WHEN 7 THEN ['not_sanitized sanitized'] WHEN 8 THEN ['no_classification is_demo'] WHEN 9 THEN ['no_source_id source_id']
+  WHEN 10 THEN ['forbidden_field passwd'] WHEN 11 THEN ['no_source_id source_id'] WHEN 12 THEN ['malformed_json '] WHEN 13 THEN ['record_not_object '] ELSE [] END) AS e FROM raw)
+"""
+
+
+@query("public_gate", T + _PUBLIC + "SELECT line_no, split_part(e, ' ', 1) AS code, split_part(e, ' ', 2) AS place FROM p")
+def public_gate(spark, sf_dir):
+    return gates.public_errors(public_lines(spark, sf_dir))
+
+
+@query("public_gate_report", T + _PUBLIC + "SELECT (SELECT count(*) FROM raw) AS records, count(DISTINCT line_no) AS bad_records, false AS mixed_classification, false AS empty, false AS publishable FROM p")
+def public_gate_report(spark, sf_dir):
+    return gates.public_report(public_lines(spark, sf_dir))
 
 
 _NAMES = ["event_id", "Api-Key", "api_token", "userName", "pass_wd", "passwd", "x-secret-y", "Authorization", "cookies", "payload", "tokenizer", "session.token"]
@@ -77,29 +95,42 @@ def credential_keys(spark, sf_dir):
     return t.select("event_id", "name", gates.credential_like(F.col("name")).alias("credential"), gates.private_key(F.col("name")).alias("private"))
 
 
-@query("address_literals", T + "SELECT event_id, k % 6 IN (0, 1, 2) AS has_address FROM raw")
+_TEXTS = {
+    "src-192.0.2.5": True, "2001:db8::1": True, "198.51.100.0/24": True, "src-a93b8ce2f710": False, "999.1.2.3 and 1.2.3": False, "version 1.2.3.4.5": False, "net 198.51.100.0/40": False, "at 10.0.0.1.": True, "10.0.0.1/path": True, "fe80:0:0:0:1:2:3:4 x": True,
+    "1:2:3": False, "12:30:45": False, "64:ff9b::192.0.2.1": True, "::ffff:192.0.2.1": False, "2001:db8::1::2": False, "a.b:c": False, "id 01.2.3.4": False,
+}
+
+
+@query("address_literals", T + f", t AS (SELECT event_id, seq % {len(_TEXTS)} AS m FROM raw) SELECT event_id, m IN ({', '.join(str(k) for k, v in enumerate(_TEXTS.values()) if v)}) AS has_address FROM t")
 def address_literals(spark, sf_dir):
-    k, ip = F.col("k"), F.col("source_ip")
-    text = F.when(k % 6 == 0, ip).when(k % 6 == 1, F.concat(F.lit("src-"), ip, F.lit("."))).when(k % 6 == 2, F.concat(F.lit("net 198.51.100.0/24 of "), F.col("event_id"))).when(k % 6 == 3, F.lit("src-a93b8ce2f710")).when(k % 6 == 4, F.lit("999.1.2.3 and 1.2.3")).otherwise(F.lit("version 1.2.3.4.5"))
-    return raw_telemetry(spark, sf_dir).select("event_id", gates.ipv4_literal(text).alias("has_address"))
+    text = F.element_at(F.array(*map(F.lit, _TEXTS)), (F.col("seq") % len(_TEXTS) + 1).cast("int"))
+    return raw_telemetry(spark, sf_dir).select("event_id", gates.address_literal(text).alias("has_address"))
 
 
 def _snapshots(spark, sf_dir):
     k = F.col("k")
     return raw_telemetry(spark, sf_dir).select(
-        F.col("event_id").alias("snapshot_id"), (k % 19 != 0).alias("process_running"), (F.lit(10_000) - k * 2).alias("generated_epoch"), (F.lit(10_000) - k * 20).alias("last_event_epoch"), (k % 2 == 0).alias("events_expected"), (k % 15).alias("disk_free_percent"),
-        F.when(k % 8 == 0, 3).otherwise(0).alias("queue_drops"), F.when(k % 9 == 0, 1).otherwise(0).alias("delivery_failures"), (k % 70).alias("active_sessions"), F.lit(64).alias("max_sessions"), F.when(k % 10 == 0, F.lit(False)).when(k % 10 == 1, F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("storage_ready"),
+        F.col("event_id").alias("snapshot_id"), (k % 19 != 0).alias("process_running"), F.when(k % 17 == 0, "degraded").when(k % 17 == 1, F.lit(None)).otherwise("ok").alias("status"), F.when(k % 6 != 0, F.lit(10_000) - k * 2).alias("generated_epoch"), F.when(k % 7 != 0, F.lit(10_000) - k * 20).alias("last_event_epoch"),
+        (k % 2 == 0).alias("expect_traffic"), (k % 30 / 2).alias("disk_free_percent"), F.when(k % 8 == 0, 3).when(k % 8 == 1, -1).otherwise(0).alias("alert_queue_drops"), F.when(k % 16 == 3, 1).alias("collector_queue_drops"), F.when(k % 16 == 5, 1).otherwise(0).alias("spool_queue_drops"),
+        F.when(k % 9 == 0, 1).otherwise(0).alias("delivery_failures"), F.when(k % 11 == 0, 2).otherwise(0).alias("rejected_sessions"), F.when(k % 10 == 0, F.lit(False)).when(k % 10 == 1, F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("storage_ready"), k.alias("total_events"),
     )
 
 
-_FIND = "list_filter([CASE WHEN k % 19 = 0 THEN 'process_not_running' END, CASE WHEN k * 2 > 120 THEN 'snapshot_stale' END, CASE WHEN k % 2 = 0 AND k * 20 > 900 THEN 'no_recent_event' END, CASE WHEN k % 15 < 5 THEN 'disk_critical' END, CASE WHEN k % 15 BETWEEN 5 AND 9 THEN 'disk_low' END, CASE WHEN k % 8 = 0 THEN 'queue_drops' END, CASE WHEN k % 9 = 0 THEN 'delivery_failures' END, CASE WHEN k % 70 >= 64 THEN 'sessions_full' END, CASE WHEN k % 10 = 0 THEN 'storage_not_ready' END, CASE WHEN k % 10 = 1 THEN 'storage_unknown' END], lambda x: x IS NOT NULL)"
+_FIND = """list_filter([CASE WHEN k % 19 = 0 OR k % 17 IN (0, 1) THEN 'process=critical' END, CASE WHEN k % 6 = 0 OR k * 2 > 120 THEN 'snapshot_freshness=critical' END, CASE WHEN k % 2 = 0 AND (k % 7 = 0 OR k * 20 > 900) THEN 'event_freshness=warning' END,
+  CASE WHEN k % 30 < 10 THEN 'disk=critical' WHEN k % 30 < 20 THEN 'disk=warning' END, CASE WHEN k % 8 = 0 OR k % 16 IN (3, 5) THEN 'queue_drops=warning' END, CASE WHEN k % 9 = 0 THEN 'delivery=warning' END, CASE WHEN k % 11 = 0 THEN 'session_capacity=warning' END,
+  CASE WHEN k % 10 = 0 THEN 'collector_storage=critical' WHEN k % 10 = 1 THEN 'collector_storage=warning' END], lambda x: x IS NOT NULL)"""
 
 
-@query("health_findings", T + f", h AS (SELECT event_id AS snapshot_id, {_FIND} AS f FROM raw), e AS (SELECT *, CASE WHEN list_has_any(f, ['process_not_running', 'snapshot_stale', 'disk_critical', 'storage_not_ready']) THEN 2 WHEN len(f) > 0 THEN 1 ELSE 0 END AS exit_code FROM h) SELECT snapshot_id, array_to_string(f, ', ') AS findings, ['ok', 'warning', 'critical'][exit_code + 1] AS status, exit_code::int AS exit_code FROM e")
+@query("health_findings", T + f", h AS (SELECT event_id AS snapshot_id, {_FIND} AS f FROM raw), e AS (SELECT *, CASE WHEN len(list_filter(f, lambda x: x LIKE '%=critical')) > 0 THEN 2 WHEN len(f) > 0 THEN 1 ELSE 0 END AS exit_code FROM h) SELECT snapshot_id, array_to_string(f, ', ') AS findings, ['ok', 'warning', 'critical'][exit_code + 1] AS status, exit_code::int AS exit_code FROM e")
 def health_findings(spark, sf_dir):
     return gates.health_findings(_snapshots(spark, sf_dir), F.lit(10_000))
 
 
-@query("operator_assurance", T + "SELECT event_id AS snapshot_id, CASE WHEN k % 8 = 0 THEN 'drops recorded' ELSE 'no drops recorded' END AS drop_state, CASE WHEN k % 9 = 0 THEN 'failures recorded' ELSE 'no failures recorded' END AS delivery_state, CASE WHEN k % 70 >= 64 THEN 'at capacity' WHEN k % 70 > 0 THEN 'active' ELSE 'idle' END AS session_state, CASE WHEN k % 10 = 0 THEN 'not ready' WHEN k % 10 = 1 THEN 'unknown' ELSE 'ready' END AS storage_state FROM raw")
+@query(
+    "operator_assurance",
+    T + """SELECT event_id AS snapshot_id, CASE WHEN k % 17 IN (0, 1) THEN 'reported unhealthy' ELSE 'reported healthy' END AS state, CASE WHEN k % 6 <> 0 THEN 10000 - k * 2 END AS generated_epoch, CASE WHEN k % 7 <> 0 THEN 10000 - k * 20 END AS last_event_epoch, k::bigint AS total_events,
+  CASE WHEN k % 8 = 0 OR k % 16 = 3 THEN 'attention needed' ELSE 'no drops reported' END AS queue_state, CASE WHEN k % 9 = 0 THEN 'attention needed' ELSE 'no failures reported' END AS delivery_state,
+  CASE WHEN k % 11 = 0 THEN 'sessions rejected' ELSE 'no rejections reported' END AS capacity_state, CASE WHEN k % 10 = 0 THEN 'not writable' WHEN k % 10 = 1 THEN 'not reported' ELSE 'ready' END AS storage_state FROM raw""",
+)
 def operator_assurance(spark, sf_dir):
     return gates.operator_assurance(_snapshots(spark, sf_dir))

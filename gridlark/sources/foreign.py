@@ -64,37 +64,23 @@ def sanitise(events: DataFrame, salt: str) -> DataFrame:
     return out.withColumn("decoded_json", strip_credentials("decoded_json")) if "decoded_json" in out.columns else out
 
 
-def _credential(key: str) -> bool:
-    name = re.sub(r"[^a-z0-9]+", "_", key.lower()).strip("_")
-    return name in CREDENTIAL_NAMES or bool(set(name.split("_")) & set(CREDENTIAL_PARTS))
+#: Names once everything but letters and digits is an underscore.
+_AUTH = re.compile(rf"_(?:{'|'.join(CREDENTIAL_PARTS)})_|^_+(?:{'|'.join(CREDENTIAL_NAMES)})_+$")
 
 
-def _strip(value):
-    if isinstance(value, dict):
-        return {k: _strip(v) for k, v in value.items() if not _credential(k)}
-    return [_strip(v) for v in value] if isinstance(value, list) else value
+def _without_auth(pairs: list[tuple]) -> dict:
+    return {k: v for k, v in pairs if not _AUTH.search(f"_{re.sub('[^a-z0-9]+', '_', k.lower())}_")}
 
 
 @F.pandas_udf(T.StringType())
 def strip_credentials(values):
-    """JSON text without credential-like fields at any depth (depth has no bound, so this is an Arrow UDF)."""
-    return values.map(lambda text: None if text is None else json.dumps(_strip(json.loads(text)), sort_keys=True, separators=(",", ":")))
-
-
-@F.pandas_udf(T.BooleanType())
-def address_literal(values):
-    """Does the text hold any IP address or network, version 4 or 6?"""
+    """JSON text without credential-like fields at any depth; null where it doesn't parse (depth has no bound, so this is an Arrow UDF)."""
 
     def one(text):
-        for run in re.findall(r"[0-9A-Fa-f:.]+(?:/[0-9]{1,3})?", text or ""):
-            run = run.strip(".:")
-            if "." in run or ":" in run:
-                try:
-                    ipaddress.ip_network(run, strict=False)
-                    return True
-                except ValueError:
-                    continue
-        return False
+        try:
+            return json.dumps(json.loads(text, object_pairs_hook=_without_auth), sort_keys=True, separators=(",", ":"))
+        except (TypeError, ValueError):
+            return None
 
     return values.map(one)
 
