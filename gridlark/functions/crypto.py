@@ -55,6 +55,14 @@ def fingerprint(source_ip: Column, protocol: Column, payload: Column, secret: by
 
 def uuid5(namespace: str, name: Column) -> Column:
     """RFC 4122 version 5 of a UTF-8 name."""
-    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    return uuid5_of(uuid5_digest(F.lit(namespace.replace("-", "")), name))
+
+
+def uuid5_digest(namespace_hex: Column, name: Column) -> Column:
+    """The digest behind a version 5 id; as a column of its own it is worked out once."""
+    return F.sha1(F.concat(F.unhex(namespace_hex), F.encode(name, "UTF-8")))
+
+
+def uuid5_of(digest: Column) -> Column:
     variant = F.substring(F.lit("89ab"), F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
     return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlark.functions import catalog as C
 from gridlark.functions import crypto
@@ -12,11 +13,24 @@ from gridlark.functions import crypto
 MIN_WINDOW, MAX_WINDOW = 60, 86_400
 
 
+#: Arrival numbers of a block: a source's events are counted by block first, so none is ordered in one piece.
+SEQ_BLOCK = 4096
+
+
 def repeat_and_novelty(t: DataFrame, key: str = "fingerprint") -> DataFrame:
-    """``repeat_source_count``: the event's ordinal in its source; ``novel``: first of its key, ever. Order is arrival (seq)."""
-    source = W.partitionBy("source_id").orderBy("seq")
-    # the first of a key needs no sort of the key's rows: a minimum and a join on it would do, but one window serves both
-    return t.withColumn("repeat_source_count", F.row_number().over(source)).withColumn("novel", F.row_number().over(W.partitionBy(key).orderBy("seq")) == 1)
+    """``repeat_source_count``: the event's ordinal in its source; ``novel``: first of its key, ever. Order is arrival (seq).
+
+    An ordinal is the number of the source's events in earlier blocks, from running sums over the small table
+    of counts by block, and the place inside the block. The first of a key is a minimum, combined before the
+    shuffle.
+    """
+    t = t.withColumn("block", F.floor(F.col("seq") / SEQ_BLOCK))
+    counts = t.groupBy("source_id", "block").agg(F.count("*").alias("n"))
+    before = counts.select("source_id", "block", F.coalesce(F.sum("n").over(W.partitionBy("source_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(W.partitionBy("source_id", "block").orderBy("seq"))
+    t = t.withColumn("place", place).join(before, ["source_id", "block"]).withColumn("repeat_source_count", (F.col("place") + F.col("before")).cast("int")).drop("place", "before", "block")
+    first = t.groupBy(key).agg(F.min("seq").alias("first_seq"))
+    return t.join(first, key).withColumn("novel", F.col("seq") == F.col("first_seq")).drop("first_seq")
 
 
 def with_fingerprint(t: DataFrame, secret: bytes) -> DataFrame:
@@ -24,20 +38,55 @@ def with_fingerprint(t: DataFrame, secret: bytes) -> DataFrame:
 
 
 def merged_observations(t: DataFrame, window: int, keys: list[str] | None = None) -> DataFrame:
-    """Observations of a key at most ``window`` seconds apart become one (the border counts as inside).
+    """Observations of a key at most ``window`` seconds apart become one (the border counts as inside), in order of arrival (seq).
+
+    An event joins the merged row of its key whose last time is the latest one within ``window`` seconds before
+    the event or at it, and moves that last time up; else it starts a row. A late event so never joins a row that is
+    already beyond it. The first event of a row gives identity, session, severity and techniques.
 
-    The first event gives identity, session, severity and techniques; the last gives last_seen.
+    Arrivals fall into stretches: a cut is where all later times lie more than ``window`` after all earlier ones.
+    Stretches with times in order are one row each, by aggregates alone; the others are folded, as sorted
+    streams that hold one key's last times.
     """
     window = max(MIN_WINDOW, min(MAX_WINDOW, window))
     keys = keys or ["fingerprint"]
     order = W.partitionBy(*keys).orderBy("seq")
-    gap = F.col("observed_epoch") - F.lag("observed_epoch").over(order)
-    marked = t.withColumn("gap", gap).withColumn("island", F.sum(F.when(F.col("gap") > window, 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    high = F.max("observed_epoch").over(order.rowsBetween(W.unboundedPreceding, -1))
+    low = F.min("observed_epoch").over(order.rowsBetween(0, W.unboundedFollowing))
+    marked = t.withColumn("high", high).withColumn("low", low)
+    marked = marked.withColumn("stretch", F.sum(F.when(F.col("low") - F.col("high") > window, 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    late = F.coalesce(F.bool_or(F.col("observed_epoch") < F.col("high")).over(W.partitionBy(*keys, "stretch")), F.lit(False))
+    marked = marked.withColumn("late", late).drop("high", "low")
+    names = [c for c in ("event_id", "session_id", "severity", "technique_ids", "techniques") if c in t.columns]
+    marked = marked.select(*keys, "seq", "observed_epoch", *names, "stretch", "late")
+    ordered = marked.where("not late").drop("late").withColumn("part", F.lit(0).cast("bigint"))
+    by = [*keys, "stretch", "part"]
+    folded = _folded(marked.where("late").drop("late"), keys, window)
     first = lambda c: F.min_by(c, "seq").alias(c)
-    by = marked.groupBy(*keys, "island").agg(
-        F.min("seq").alias("first_seq"), F.min("observed_epoch").alias("first_seen"), F.max("observed_epoch").alias("last_seen"), F.count("*").alias("repeat_count"), *(first(c) for c in ("event_id", "session_id", "severity", "technique_ids", "techniques") if c in t.columns)
-    )
-    return by
+    rows = ordered.unionByName(folded).groupBy(*by).agg(F.min("seq").alias("first_seq"), F.min("observed_epoch").alias("first_seen"), F.max("observed_epoch").alias("last_seen"), F.count("*").alias("repeat_count"), *map(first, names))
+    # merged rows of a key are numbered by arrival; there are far fewer of them than events
+    return rows.withColumn("island", (F.row_number().over(W.partitionBy(*keys).orderBy("first_seq")) - 1).cast("bigint")).drop("stretch", "part")
+
+
+def _folded(late: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """Adds ``part``, the merged row of its stretch that an event joins."""
+    by = [*keys, "stretch"]
+    spread = late.repartition(*by).sortWithinPartitions(*by, "seq")
+
+    def fold(frames):
+        at, lasts = None, []
+        for pdf in frames:
+            parts = []
+            for key, t in zip(zip(*(pdf[c] for c in by)), pdf["observed_epoch"]):
+                if key != at:
+                    at, lasts = key, []
+                fits = [(last, -k) for k, last in enumerate(lasts) if t - window <= last <= t]
+                k = -max(fits)[1] if fits else len(lasts)
+                lasts[k : k + 1] = [t]
+                parts.append(k)
+            yield pdf.assign(part=parts)
+
+    return spread.mapInPandas(fold, T.StructType([*late.schema.fields, T.StructField("part", T.LongType())]))
 
 
 def import_batch(incoming: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -90,7 +139,7 @@ def report_top_techniques(index: DataFrame, top: int = 5) -> DataFrame:
 
 
 def report_top_sources(index: DataFrame, top: int = 5) -> DataFrame:
-    return index.groupBy("source_id").agg(F.countDistinct("session_id").alias("sessions")).orderBy(F.desc("sessions"), "source_id").limit(top)
+    return index.groupBy("source_id").agg(F.countDistinct(F.when(F.col("session_id") != "", F.col("session_id"))).alias("sessions")).orderBy(F.desc("sessions"), "source_id").limit(top)
 
 
 def public_summary(t: DataFrame) -> DataFrame:

@@ -25,47 +25,65 @@ def quoted(text: Column) -> Column:
 
 def object_id(kind: str, material: Column, sco: bool = False) -> Column:
     """``material`` is canonical JSON text."""
-    name = F.concat(F.lit(f'["{kind}",'), material, F.lit("]"))
-    return F.concat(F.lit(f"{kind}--"), crypto.uuid5(SCO_NAMESPACE if sco else PROJECT_NAMESPACE, name))
+    return F.concat(F.lit(f"{kind}--"), crypto.uuid5(SCO_NAMESPACE if sco else PROJECT_NAMESPACE, _name(F.lit(kind), material)))
 
 
-def source_id_of(profile: str) -> tuple[str, Column, Column]:
-    """(node type, value, id) of an event's source: a reserved name in public, the address in private."""
-    if profile == PUBLIC:
-        value = F.concat(F.lower("source_id"), F.lit(".invalid"))
-        return "domain-name", value, object_id("domain-name", F.concat(F.lit('{"value":'), quoted(value), F.lit("}")), sco=True)
-    value = F.col("source_ip")
-    return "ipv4-addr", value, object_id("ipv4-addr", F.concat(F.lit('{"value":'), quoted(value), F.lit("}")), sco=True)
+def _name(kind: Column, material: Column) -> Column:
+    return F.concat(F.lit('["'), kind, F.lit('",'), material, F.lit("]"))
 
 
-def pattern_id(technique_id: Column) -> Column:
-    return object_id("attack-pattern", F.concat(F.lit('["mitre-attack-ics",'), quoted(technique_id), F.lit("]")))
+def _digest(kind: Column, material: Column, sco: Column) -> Column:
+    hexes = F.when(sco, SCO_NAMESPACE.replace("-", "")).otherwise(PROJECT_NAMESPACE.replace("-", ""))
+    return crypto.uuid5_digest(hexes, _name(kind, material))
 
 
-def observed_id(profile: str) -> Column:
-    return object_id("observed-data", F.concat(F.lit(f'["{profile}",'), quoted(F.col("event_id")), F.lit("]")))
+def _id(kind: Column, digest: str) -> Column:
+    return F.concat(kind, F.lit("--"), crypto.uuid5_of(F.col(digest)))
+
+
+def _observed(profile: str, event_id: Column) -> Column:
+    return F.concat(F.lit(f'["{profile}",'), quoted(event_id), F.lit("]"))
+
+
+def _pattern(technique_id: Column) -> Column:
+    return F.concat(F.lit('["mitre-attack-ics",'), quoted(technique_id), F.lit("]"))
 
 
 def graph_nodes(events: DataFrame, profile: str = PUBLIC) -> DataFrame:
-    """(id, type, label): the producer, sources, traffic, observed data and techniques, each once."""
-    kind, value, source = source_id_of(profile)
+    """(id, type, label): the producer, sources, traffic, observed data and techniques, each once.
+
+    A source is a reserved name in the public profile, an address in the private one. Rows are made distinct
+    by what they stand for; ids are worked out after that, a digest column at a time.
+    """
+    value = F.concat(F.lower("source_id"), F.lit(".invalid")) if profile == PUBLIC else F.col("source_ip")
+    kind = "domain-name" if profile == PUBLIC else "ipv4-addr"
+    row = lambda t, key, protocol=None: F.struct(F.lit(t).alias("type"), key.alias("key"), (F.lit(None).cast("string") if protocol is None else protocol).alias("protocol"))
+    own = [row(kind, F.col("source")), row("network-traffic", F.col("source"), F.col("protocol")), row("observed-data", F.col("event_id"))]
+    things = events.select("event_id", "protocol", "technique_ids", value.alias("source"))
+    things = things.select(F.explode(F.concat(F.array(*own), F.transform("technique_ids", lambda t: row("attack-pattern", t)))).alias("n")).select("n.*").distinct()
+    of_source = F.col("type").isin(kind, "network-traffic")
+    things = things.withColumn("d", F.when(of_source, _digest(F.lit(kind), F.concat(F.lit('{"value":'), quoted(F.col("key")), F.lit("}")), F.lit(True))))
+    things = things.withColumn("source", F.when(of_source, _id(F.lit(kind), "d")))
     port = F.element_at(F.create_map(*(x for p, n in C.PORTS.items() for x in (F.lit(p), F.lit(n)))), F.col("protocol"))
-    traffic = object_id("network-traffic", F.concat(F.lit('{"dst_port":'), port.cast("string"), F.lit(',"protocols":["tcp"],"src_ref":'), quoted(source), F.lit("}")), sco=True)
-    # one row an event becomes its nodes; the distinct that follows combines before it shuffles
-    node = lambda i, t, label: F.struct(i.alias("id"), F.lit(t).alias("type"), label.alias("label"))
-    own = [node(source, kind, value), node(traffic, "network-traffic", F.concat(F.col("protocol"), F.lit("/tcp"))), node(observed_id(profile), "observed-data", F.col("event_id"))]
-    patterns = F.transform("technique_ids", lambda t: node(pattern_id(t), "attack-pattern", t))
-    nodes = events.select(F.explode(F.concat(F.array(*own), patterns)).alias("n")).select("n.*").distinct()
+    traffic = F.concat(F.lit('{"dst_port":'), port.cast("string"), F.lit(',"protocols":["tcp"],"src_ref":'), quoted(F.col("source")), F.lit("}"))
+    is_traffic = F.col("type") == "network-traffic"
+    material = F.when(is_traffic, traffic).when(F.col("type") == "observed-data", _observed(profile, F.col("key"))).otherwise(_pattern(F.col("key")))
+    things = things.withColumn("e", F.when(F.col("type") != kind, _digest(F.col("type"), material, is_traffic)))
+    nodes = things.select(F.when(F.col("type") == kind, F.col("source")).otherwise(_id(F.col("type"), "e")).alias("id"), "type", F.when(is_traffic, F.concat("protocol", F.lit("/tcp"))).otherwise(F.col("key")).alias("label"))
     producer = events.sparkSession.range(1).select(object_id("identity", F.lit(f'"{PRODUCER}"')).alias("id"), F.lit("identity").alias("type"), F.lit(PRODUCER).alias("label"))
     return nodes.unionByName(producer)
 
 
 def graph_edges(events: DataFrame, profile: str = PUBLIC) -> DataFrame:
     """(id, source_ref, target_ref, confidence) of every mapped technique of every event."""
-    one = events.select("event_id", F.explode("techniques").alias("t")).select(observed_id(profile).alias("source_ref"), pattern_id(F.col("t.technique_id")).alias("target_ref"), F.col("t.technique_id").alias("technique_id"), F.col("t.confidence").alias("label"))
+    observed, pattern, relation = F.lit("observed-data"), F.lit("attack-pattern"), F.lit("relationship")
+    one = events.select("event_id", "techniques", _digest(observed, _observed(profile, F.col("event_id")), F.lit(False)).alias("o"))
+    one = one.select(_id(observed, "o").alias("source_ref"), F.explode("techniques").alias("t")).select("source_ref", F.col("t.technique_id").alias("technique_id"), F.col("t.confidence").alias("label"))
+    one = one.withColumn("p", _digest(pattern, _pattern(F.col("technique_id")), F.lit(False))).withColumn("target_ref", _id(pattern, "p"))
     material = F.concat(F.lit("["), quoted(F.col("source_ref")), F.lit(","), quoted(F.col("target_ref")), F.lit(","), quoted(F.col("technique_id")), F.lit("]"))
     confidence = F.coalesce(F.element_at(F.create_map(*(x for k, v in C.STIX_CONFIDENCE.items() for x in (F.lit(k), F.lit(v)))), F.col("label")), F.lit(25))
-    return one.select(object_id("relationship", material).alias("id"), "source_ref", "target_ref", confidence.alias("confidence"))
+    one = one.withColumn("r", _digest(relation, material, F.lit(False)))
+    return one.select(_id(relation, "r").alias("id"), "source_ref", "target_ref", confidence.alias("confidence"))
 
 
 def write_bundle(nodes: DataFrame, edges: DataFrame, path: str) -> None:

@@ -64,6 +64,25 @@ def dedup_observations_6h(spark, sf_dir):
     return merged(spark, sf_dir, 21600).select(*_COLS.split(", "))
 
 
+#: Every seventh event comes up to three hours late or early by its own clock.
+_SHIFT = "CASE WHEN seq % 7 = 3 THEN (seq * 7919 % 11 - 5) * 2160 ELSE 0 END"
+
+
+@query(
+    "dedup_late_observations",
+    (T + f""", o AS (SELECT source_id || '|' || protocol AS fingerprint, seq, event_id, CAST(observed_epoch + {_SHIFT} AS bigint) AS t FROM tel),
+n AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY seq) AS i FROM o),
+f AS (SELECT fingerprint, i, [t] AS lasts, 1::bigint AS k FROM n WHERE i = 1
+  UNION ALL SELECT fingerprint, i, CASE WHEN k > len(lasts) THEN list_append(lasts, t) ELSE list_concat(lasts[1 : k - 1], [t], lasts[k + 1 :]) END, k
+  FROM (SELECT n.fingerprint, n.i, n.t, lasts, coalesce(list_position(lasts, list_max(list_filter(lasts, lambda x: x <= n.t AND x >= n.t - 1800))), len(lasts) + 1)::bigint AS k FROM f JOIN n ON n.fingerprint = f.fingerprint AND n.i = f.i + 1))
+SELECT fingerprint, k - 1 AS island, min(seq) AS first_seq, arg_min(event_id, seq) AS event_id, min(t) AS first_seen, max(t) AS last_seen, count(*) AS repeat_count FROM f JOIN n USING (fingerprint, i) GROUP BY ALL""").replace("WITH raw0", "WITH RECURSIVE raw0"),
+)
+def dedup_late_observations(spark, sf_dir):
+    """Observations of a source and protocol, some of them late: the reference result is a fold in order of arrival."""
+    t = telemetry(spark, sf_dir).select(F.concat_ws("|", "source_id", "protocol").alias("fingerprint"), "seq", "event_id", (F.col("observed_epoch") + F.expr(_SHIFT)).alias("observed_epoch"))
+    return index.merged_observations(t, 1800).select("fingerprint", "island", "first_seq", "event_id", "first_seen", "last_seen", "repeat_count")
+
+
 _CONF = "CASE tid WHEN 'T0877' THEN 'low' WHEN 'T0846.001' THEN 'medium' WHEN 'T0836' THEN 'medium' ELSE 'high' END"
 _TOTALS = islands_sql(21600) + f", x AS (SELECT *, unnest(technique_ids) AS tid FROM idx), tot AS (SELECT tid AS technique_id, {_CONF} AS confidence, sum(repeat_count)::bigint AS total FROM x GROUP BY ALL)"
 
@@ -86,14 +105,17 @@ def report_protocols(spark, sf_dir):
     return index.report_protocols(index.report_window(merged(spark, sf_dir, 21600), _REPORT_END, 7))
 
 
-@query("report_top_techniques", T + _TOTALS + " SELECT technique_id, sum(total)::bigint AS events, coalesce(sum(total) FILTER (confidence = 'high'), 0)::bigint AS high, coalesce(sum(total) FILTER (confidence = 'medium'), 0)::bigint AS medium, coalesce(sum(total) FILTER (confidence = 'low'), 0)::bigint AS low FROM tot GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+_WINDOWED = _TOTALS.replace("FROM idx)", f"FROM idx WHERE last_seen >= {_REPORT_END} - 604800 AND last_seen < {_REPORT_END})")
+
+
+@query("report_top_techniques", T + _WINDOWED + " SELECT technique_id, sum(total)::bigint AS events, coalesce(sum(total) FILTER (confidence = 'high'), 0)::bigint AS high, coalesce(sum(total) FILTER (confidence = 'medium'), 0)::bigint AS medium, coalesce(sum(total) FILTER (confidence = 'low'), 0)::bigint AS low FROM tot GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 def report_top_techniques(spark, sf_dir):
-    return index.report_top_techniques(merged(spark, sf_dir, 21600))
+    return index.report_top_techniques(index.report_window(merged(spark, sf_dir, 21600), _REPORT_END, 7))
 
 
-@query("report_top_sources", T + islands_sql(21600) + "SELECT source_id, count(DISTINCT session_id) AS sessions FROM idx GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+@query("report_top_sources", T + islands_sql(21600) + f"SELECT source_id, count(DISTINCT session_id) FILTER (session_id <> '') AS sessions FROM idx WHERE last_seen >= {_REPORT_END} - 604800 AND last_seen < {_REPORT_END} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 def report_top_sources(spark, sf_dir):
-    return index.report_top_sources(merged(spark, sf_dir, 21600))
+    return index.report_top_sources(index.report_window(merged(spark, sf_dir, 21600), _REPORT_END, 7))
 
 
 def _counter_sql(column: str, names) -> str:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.plans.registry import query
-from gridlark.plans.telemetry import TELEMETRY_SQL, raw_telemetry
+from gridlark.plans.telemetry import TELEMETRY_SQL, raw_telemetry, telemetry
 from gridlark.streaming import state
 
 T = TELEMETRY_SQL
@@ -16,14 +17,22 @@ SECRETS = {"sensor-01": b"synthetic-envelope-secret-000001"}
 
 
 def _work_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/gridlark-streams"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file:///tmp/gridlark-streams"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events file as a stream."""
+    """The events table as a stream, one file or a folder of them."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    reader = spark.readStream.schema(schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{sf_dir}/events.parquet")
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -47,19 +56,26 @@ def replay_dedup_stream(spark, sf_dir):
     return drained(state.without_replays(e)).select("sensor_id", "event_id")
 
 
-@query("session_dedup_stream", "WITH g AS (SELECT user_id % 20 AS s, event_type, ts, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id % 20, event_type ORDER BY ts) AS gap FROM events), i AS (SELECT *, sum(CASE WHEN gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY s, event_type ORDER BY ts RANGE UNBOUNDED PRECEDING) AS island FROM g) SELECT s || '-' || event_type AS fingerprint, CAST(floor(epoch(min(ts))) AS bigint) AS first_seen, CAST(floor(epoch(max(ts))) AS bigint) AS last_seen, count(*) AS repeat_count FROM i GROUP BY s, event_type, island")
+@query("session_dedup_stream", "WITH g AS (SELECT user_id % 20 AS s, event_type, ts, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id % 20, event_type ORDER BY ts) AS gap FROM events), i AS (SELECT *, sum(CASE WHEN gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY s, event_type ORDER BY ts RANGE UNBOUNDED PRECEDING) AS island FROM g), w AS (SELECT s || '-' || event_type AS fingerprint, min(ts) AS a, max(ts) AS b, count(*) AS repeat_count FROM i GROUP BY s, event_type, island) SELECT fingerprint, CAST(floor(epoch(a)) AS bigint) AS first_seen, CAST(floor(epoch(b)) AS bigint) AS last_seen, repeat_count FROM w WHERE epoch(b) + 1800 <= (SELECT max(epoch(ts)) FROM events) - 3600")
 def session_dedup_stream(spark, sf_dir):
-    """Session windows of a stream; complete output, as the last windows never close."""
+    """Session windows of a stream that the watermark has closed; state of closed windows goes."""
     e = event_stream(spark, sf_dir).select(F.concat((F.col("user_id") % 20).cast("string"), F.lit("-"), F.col("event_type")).alias("fingerprint"), F.col("ts").cast("timestamp").alias("observed_at"))
-    out = drained(state.merged_sessions(e, watermark=None), "complete")
+    out = drained(state.merged_sessions(e))
     return out.select("fingerprint", F.unix_seconds("first_seen").alias("first_seen"), F.unix_seconds("last_seen").alias("last_seen"), "repeat_count")
 
 
-@query("alert_suppression")
+@query(
+    "alert_suppression",
+    (T + """, a AS (SELECT session_id || '|' || array_to_string(technique_ids, ',') AS alert_key, seq, observed_epoch AS epoch FROM tel WHERE severity = 'high'),
+n AS (SELECT *, row_number() OVER (PARTITION BY alert_key ORDER BY seq) AS i FROM a),
+f AS (SELECT alert_key, seq, epoch, i, epoch AS accepted, true AS sent FROM n WHERE i = 1
+  UNION ALL SELECT n.alert_key, n.seq, n.epoch, n.i, CASE WHEN n.epoch - f.accepted >= 600 THEN n.epoch ELSE f.accepted END, n.epoch - f.accepted >= 600 FROM f JOIN n ON n.alert_key = f.alert_key AND n.i = f.i + 1)
+SELECT alert_key, seq, epoch, sent FROM f""").replace("WITH raw0", "WITH RECURSIVE raw0"),
+)
 def alert_suppression(spark, sf_dir):
-    """High-severity alerts by source and technique; accepted ones silence their key for 600 s. Order-dependent state: tests hold it against a fold."""
-    t = raw_telemetry(spark, sf_dir)
-    return state.suppressed_alerts(t.select(F.concat_ws("|", "source_id", "operation").alias("alert_key"), "seq", F.col("observed_epoch").alias("epoch")))
+    """High-severity alerts by session and techniques; accepted ones silence their key for 600 s."""
+    t = telemetry(spark, sf_dir).where("severity = 'high'")
+    return state.suppressed_alerts(t.select(F.concat_ws("|", "session_id", F.array_join("technique_ids", ",")).alias("alert_key"), "seq", F.col("observed_epoch").alias("epoch")))
 
 
 @query("envelope_verification", T + "SELECT event_id, CASE WHEN k % 7 = 0 THEN 'unknown_sensor' WHEN k % 7 = 1 THEN 'invalid_timestamp' WHEN k % 7 = 2 THEN 'timestamp_out_of_range' WHEN k % 7 = 3 THEN 'invalid_signature' WHEN k % 7 = 4 THEN 'unsupported_schema' END AS reject_reason FROM raw")

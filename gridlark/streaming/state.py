@@ -49,12 +49,25 @@ def suppressed_alerts(alerts: DataFrame, seconds: int = SUPPRESS_SECONDS) -> Dat
     schema = "alert_key string, seq long, epoch long, sent boolean"
 
     if not alerts.isStreaming:
-
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("seq")
-            return pdf.assign(sent=suppression_fold(pdf["epoch"].tolist(), None, seconds)[0])[["alert_key", "seq", "epoch", "sent"]]
-
-        return alerts.select("alert_key", "seq", "epoch").groupBy("alert_key").applyInPandas(fold, schema)
+        # an alert that comes ``seconds`` after all before it is sent whatever was: its key is cut there, and the
+        # stretches are folded as sorted streams
+        order = Window.partitionBy("alert_key").orderBy("seq")
+        high = F.max("epoch").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        cut = alerts.select("alert_key", "seq", "epoch", high.alias("high"))
+        cut = cut.withColumn("stretch", F.sum(F.when(F.col("epoch") - F.col("high") >= seconds, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("high")
+
+        def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, accepted = None, None
+            for pdf in frames:
+                sent = []
+                for key, epoch in zip(zip(pdf["alert_key"], pdf["stretch"]), pdf["epoch"]):
+                    if key != at:
+                        at, accepted = key, None
+                    (ok,), accepted = suppression_fold([epoch], accepted, seconds)
+                    sent.append(ok)
+                yield pdf.assign(sent=sent)[["alert_key", "seq", "epoch", "sent"]]
+
+        return cut.repartition("alert_key", "stretch").sortWithinPartitions("alert_key", "stretch", "seq").mapInPandas(fold, schema)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

@@ -119,3 +119,36 @@ def test_registers_carry_over_blocks_without_groups_in_memory(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert got.dtypes == [("sensor_id", "string"), ("seq", "bigint"), ("address", "int"), ("previous", "int"), ("value", "int"), ("applied", "boolean")]
     assert "InPandas" not in got._jdf.queryExecution().toString()
+
+
+def test_late_observations_join_only_rows_not_beyond_them(spark):
+    from gridlark.operators import index
+
+    rows = [("a", 1, 5000), ("a", 2, 1000), ("a", 3, 5100), ("b", 4, 0), ("b", 5, 1800), ("b", 6, 9000), ("b", 7, 1700), ("b", 8, 9000), ("c", 9, 50)]
+    t = spark.createDataFrame([(k, s, f"e{s}", e) for k, s, e in rows], "fingerprint string, seq long, event_id string, observed_epoch long")
+    got = sorted((r.fingerprint, r.first_seen, r.last_seen, r.repeat_count, r.event_id) for r in index.merged_observations(t, 1800).collect())
+    assert got == [("a", 1000, 1000, 1, "e2"), ("a", 5000, 5100, 2, "e1"), ("b", 0, 1800, 2, "e4"), ("b", 1700, 1700, 1, "e7"), ("b", 9000, 9000, 2, "e6"), ("c", 50, 50, 1, "e9")]
+    assert index.merged_observations(t.limit(0), 1800).count() == 0
+
+
+def test_health_rules_on_missing_times(spark):
+    from gridlark.operators import gates
+
+    schema = "snapshot_id string, process_running boolean, status string, generated_epoch long, last_event_epoch long, expect_traffic boolean, disk_free_percent double, alert_queue_drops long, collector_queue_drops long, spool_queue_drops long, delivery_failures long, rejected_sessions long, storage_ready boolean"
+    rows = [("ok", True, "ok", 1000, 1000, True, 50.0, 0, 0, 0, 0, 0, True), ("none", True, "ok", None, None, True, 9.5, None, None, 1, None, None, None), ("down", None, None, 1000, None, False, 4.9, 0, 0, 0, 2, 1, False)]
+    got = {r.snapshot_id: (r.status, r.findings) for r in gates.health_findings(spark.createDataFrame(rows, schema), F.lit(1010)).collect()}
+    assert got == {
+        "ok": ("ok", ""),
+        "none": ("critical", "snapshot_freshness=critical, event_freshness=warning, disk=warning, queue_drops=warning, collector_storage=warning"),
+        "down": ("critical", "process=critical, disk=critical, delivery=warning, session_capacity=warning, collector_storage=critical"),
+    }
+
+
+def test_public_gate_on_mixed_classes(spark):
+    from gridlark.operators import gates
+
+    lines = [(1, '{"source_id":"s","is_demo":true,"sanitized":true}'), (2, '{"source_id":"s","is_demo":false,"sanitized":true}'), (3, "  ")]
+    t = spark.createDataFrame(lines, "line_no long, value string")
+    assert tuple(gates.public_report(t).first()) == (2, 0, True, False, False)
+    assert tuple(gates.public_report(t.where("line_no = 1")).first()) == (1, 0, False, False, True)
+    assert tuple(gates.public_report(t.limit(0)).first()) == (0, 0, False, True, False)
