@@ -70,18 +70,31 @@ def _kind(v: Column, name: str) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")), F.lit("MISSING"))
 
 
-def record_errors(v: Column, keys: Column) -> Column:
-    """Sorted distinct error codes of one record: its variant and its top-level keys, parsed once by the caller."""
-    text = lambda name: F.when(_kind(v, name) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+#: Fields that the rules look at, by what they need: the text, or the kind alone.
+_TEXTS = ("event_id", "session_id", "sensor_id", "severity", "protocol", "event_type", "observed_at", "source_id", "source_ip", "raw_payload_hex")
+_KINDS = ("is_demo", "decoded", "techniques", "tags", "sanitized")
+
+
+def with_fields(records: DataFrame) -> DataFrame:
+    """Adds for each field of the variant ``v`` its kind (k_...) and text (t_..., null unless a string): every field is looked up once."""
+    values = records.select("*", *(F.try_variant_get("v", f"$.{name}", "variant").alias(f"x_{name}") for name in _TEXTS + _KINDS))
+    kinds = values.select("*", *(F.coalesce(F.schema_of_variant(f"x_{name}"), F.lit("MISSING")).alias(f"k_{name}") for name in _TEXTS + _KINDS))
+    flags = [F.when(F.col(f"k_{name}") == "BOOLEAN", F.try_variant_get(f"x_{name}", "$", "boolean")).alias(f"b_{name}") for name in ("is_demo", "sanitized")]
+    texts = [F.when(F.col(f"k_{name}") == "STRING", F.try_variant_get(f"x_{name}", "$", "string")).alias(f"t_{name}") for name in _TEXTS]
+    return kinds.select("*", *texts, *flags).drop(*(f"x_{name}" for name in _TEXTS + _KINDS))
+
+
+def record_errors(keys: Column) -> Column:
+    """Sorted distinct error codes of one record, on the columns of ``with_fields`` and its top-level keys."""
+    text, kind = (lambda name: F.col(f"t_{name}")), (lambda name: F.col(f"k_{name}"))
     blank = lambda name: F.length(F.trim(F.coalesce(text(name), F.lit("")))) == 0
     observed = text("observed_at")
     # a time without an offset is rejected
     timed = observed.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$") & observed.try_cast("timestamp").isNotNull()
-    sanitized = _kind(v, "sanitized")
-    clean = (sanitized == "BOOLEAN") & F.coalesce(F.try_variant_get(v, "$.sanitized", "boolean"), F.lit(False))
+    sanitized = kind("sanitized")
+    clean = F.coalesce(F.col("b_sanitized"), F.lit(False))
     has = lambda name: F.array_contains(keys, name)
-    payload = _kind(v, "raw_payload_hex")
-    hexed = F.try_variant_get(v, "$.raw_payload_hex", "string")
+    payload, hexed = kind("raw_payload_hex"), text("raw_payload_hex")
     rules = {
         "missing_required_fields": F.size(F.array_except(_strings(REQUIRED), keys)) > 0,
         "unexpected_top_level_fields": F.size(F.array_except(keys, _strings(REQUIRED + OPTIONAL))) > 0,
@@ -89,10 +102,10 @@ def record_errors(v: Column, keys: Column) -> Column:
         "unsupported_protocol": ~F.coalesce(text("protocol").isin(*C.PROTOCOLS), F.lit(False)),
         "unsupported_event_type": ~F.coalesce(text("event_type").isin(*EVENT_TYPES), F.lit(False)),
         "invalid_timestamp": ~F.coalesce(timed, F.lit(False)),
-        "invalid_classification": _kind(v, "is_demo") != "BOOLEAN",
-        "invalid_decoded_object": ~_kind(v, "decoded").startswith("OBJECT"),
-        "invalid_techniques_list": ~_kind(v, "techniques").startswith("ARRAY"),
-        "invalid_tags_list": ~_kind(v, "tags").startswith("ARRAY"),
+        "invalid_classification": kind("is_demo") != "BOOLEAN",
+        "invalid_decoded_object": ~kind("decoded").startswith("OBJECT"),
+        "invalid_techniques_list": ~kind("techniques").startswith("ARRAY"),
+        "invalid_tags_list": ~kind("tags").startswith("ARRAY"),
         "invalid_sanitized_flag": ~sanitized.isin("MISSING", "VOID") & ~clean,
         "missing_sanitized_source_id": clean & blank("source_id"),
         "private_fields_in_sanitized_record": clean & (has("source_ip") | has("raw_payload_hex")),
@@ -104,19 +117,18 @@ def record_errors(v: Column, keys: Column) -> Column:
 
 def inspect_lines(lines: DataFrame) -> DataFrame:
     """(line_no, value) -> event_id, error codes and classification of each line; blank lines are passed over."""
-    one = lines.where(F.length(F.trim("value")) > 0)
-    one = one.select("line_no", F.octet_length("value").alias("size"), F.try_parse_json("value").alias("v"), F.json_object_keys("value").alias("keys"))
-    kind = F.schema_of_variant("v")
-    state = F.when(F.col("size") >= MAX_RECORD_BYTES, "oversized_record").when(F.col("v").isNull(), "malformed_json").when(~kind.startswith("OBJECT"), "record_not_object")
+    held = lines.where(F.length(F.trim("value")) > 0)
+    one = with_fields(held.select("line_no", F.octet_length("value").alias("size"), F.try_parse_json("value").alias("v"), F.json_object_keys("value").alias("keys")).withColumn("kind", F.schema_of_variant("v")))
+    state = F.when(F.col("size") >= MAX_RECORD_BYTES, "oversized_record").when(F.col("v").isNull(), "malformed_json").when(~F.col("kind").startswith("OBJECT"), "record_not_object")
     one = one.withColumn("state", state)
     fine = F.col("state").isNull()
-    one = one.withColumn("event_id", F.when(fine, F.try_variant_get("v", "$.event_id", "string")))
-    one = one.withColumn("is_demo", F.when(fine, F.try_variant_get("v", "$.is_demo", "boolean"))).withColumn("sanitized", F.when(fine, F.coalesce(F.try_variant_get("v", "$.sanitized", "boolean"), F.lit(False))))
+    one = one.select("*", F.when(fine, F.col("t_event_id")).alias("event_id"), F.when(fine, F.col("b_is_demo")).alias("is_demo"), F.when(fine, F.coalesce("b_sanitized", F.lit(False))).alias("sanitized"))
     # duplicates are found by the first line of each id: counts combine before the shuffle, no sort of a hot id's rows
     first = one.where("event_id is not null").groupBy("event_id").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n")).where("n > 1").drop("n")
-    one = one.join(first, "event_id", "left")
-    again = F.when(F.col("line_no") > F.col("first_line"), "duplicate_event_id")
-    codes = F.when(fine, F.array_sort(F.array_compact(F.concat(record_errors(F.col("v"), F.col("keys")), F.array(again))))).otherwise(F.array("state"))
+    own = F.when(fine, record_errors(F.col("keys"))).otherwise(F.array("state"))
+    one = one.select("line_no", "event_id", own.alias("own"), "is_demo", "sanitized").join(first, "event_id", "left")
+    again = F.when(F.col("line_no") > F.col("first_line"), F.array(F.lit("duplicate_event_id")))
+    codes = F.when(again.isNull(), F.col("own")).otherwise(F.array_sort(F.concat("own", again)))
     return one.select("line_no", "event_id", codes.alias("codes"), "is_demo", "sanitized")
 
 
