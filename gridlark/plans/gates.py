@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridlark.operators import gates
 from gridlark.plans.registry import query
 from gridlark.plans.telemetry import TELEMETRY_SQL, raw_telemetry
+from gridlark.session import work_dir
+from gridlark.sources import jsonl
 
 T = TELEMETRY_SQL
 
@@ -51,6 +54,31 @@ def preflight_error_counts(spark, sf_dir):
     return gates.error_counts(gates.inspect_lines(lines(spark, sf_dir)))
 
 
+def written_lines(spark, sf_dir):
+    """The lines as files in the shared folder, in order within each; a file for each range of lines."""
+    folder = f"{work_dir(spark)}/handoff"
+    lines(spark, sf_dir).repartitionByRange(4, "line_no").sortWithinPartitions("line_no").select("value").write.text(folder)
+    return folder
+
+
+@query("handoff_line_numbers", T + _CODES + "SELECT count(*) AS lines, count(DISTINCT line_no) AS numbers, true AS in_order FROM c")
+def handoff_line_numbers(spark, sf_dir):
+    """Files are read back in small splits: every line has its number in its file, and events follow one another."""
+    read = jsonl.read_lines(spark, written_lines(spark, sf_dir))
+    seq = F.coalesce(F.regexp_extract("value", '"session_id":"[^"]*-([0-9]+)"', 1).try_cast("long"), F.lit(-1))
+    group = read.withColumn("grp", F.when(seq >= 0, seq))
+    order = Window.partitionBy("file").orderBy("line_no")
+    checked = group.withColumn("before", F.max("grp").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("good", F.coalesce(F.col("grp") >= F.col("before"), F.lit(True)))
+    return checked.agg(F.count("*").alias("lines"), F.countDistinct("file", "line_no").alias("numbers"), F.bool_and("good").alias("in_order"))
+
+
+@query("handoff_error_counts", T + _CODES + "SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM c) WHERE code <> 'duplicate_event_id' GROUP BY code")
+def handoff_error_counts(spark, sf_dir):
+    """Error codes of lines read from files; which line of an id comes first depends on the files, so that code is left to the other queries."""
+    read = jsonl.read_lines(spark, written_lines(spark, sf_dir))
+    return gates.error_counts(gates.inspect_lines(read)).where("code <> 'duplicate_event_id'")
+
+
 @query("duplicate_event_ids", T + _CODES + "SELECT line_no FROM c WHERE list_contains(codes, 'duplicate_event_id')")
 def duplicate_event_ids(spark, sf_dir):
     return gates.inspect_lines(lines(spark, sf_dir)).where(F.array_contains("codes", "duplicate_event_id")).select("line_no")

@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.plans.registry import query
 from gridlark.plans.telemetry import TELEMETRY_SQL, raw_telemetry, telemetry
+from gridlark.session import work_dir
 from gridlark.streaming import state
 
 T = TELEMETRY_SQL
 SECRETS = {"sensor-01": b"synthetic-envelope-secret-000001"}
 
 
-def _work_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file:///tmp/gridlark-streams"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, one file or a folder of them."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -37,7 +26,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs the stream over all that is there and reads what it wrote; sinks and checkpoints are in the shared folder."""
-    spark, folder = stream.sparkSession, _work_dir(stream.sparkSession)
+    spark, folder = stream.sparkSession, work_dir(stream.sparkSession)
 
     def put(batch: DataFrame, number: int) -> None:
         # a repeated batch overwrites its own folder: the sink stays exact

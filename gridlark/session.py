@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +27,13 @@ def make_session(app: str = "gridlark", cores: int | str = "*", shuffle_partitio
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a local one in local runs where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file:///tmp/gridlark-streams"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,9 +32,22 @@ EVENT = T.StructType(
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value): line numbers are unique and grow within a file; use with one file for exact numbers."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    return lines.select(F.monotonically_increasing_id().alias("line_no"), "value")
+    """(file, line_no, value): lines are numbered from 1 in each file, in however many splits it is read.
+
+    A split knows where in its file it starts, so a line's number is its place in the split and the lines of
+    the splits before it: running sums over a table of one row for each split.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return lines.join(splits, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), "value")
+
+
+def file_facts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, sha256, ends_with_newline) of raw files, read in tasks; a file must fit in one of them. Files without a byte are not listed."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.col("path").alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), (F.substring("content", -1, 1) == F.lit(b"\n")).alias("ends_with_newline"))
 
 
 def read_events(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:

@@ -152,3 +152,25 @@ def test_public_gate_on_mixed_classes(spark):
     assert tuple(gates.public_report(t).first()) == (2, 0, True, False, False)
     assert tuple(gates.public_report(t.where("line_no = 1")).first()) == (1, 0, False, False, True)
     assert tuple(gates.public_report(t.limit(0)).first()) == (0, 0, False, True, False)
+
+
+def test_line_numbers_of_split_files(spark, tmp_path):
+    """Files are read in many splits; numbers are those of an editor."""
+    from gridlark.sources import jsonl
+
+    texts = {"a": [f"line {k} " + "x" * (k % 90) for k in range(1, 4001)], "b": ["", "é", ""], "c": []}
+    for name, lines in texts.items():
+        (tmp_path / f"{name}.txt").write_text("".join(f"{x}\n" for x in lines), encoding="utf-8")
+    (tmp_path / "d.txt").write_text("no end", encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        read = jsonl.read_lines(spark, str(tmp_path))
+        assert read.select("file").distinct().count() == 3
+        got = sorted((r.file[-5], r.line_no, r.value) for r in read.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [(name, k, x) for name, lines in texts.items() for k, x in enumerate(lines, 1)] + [("d", 1, "no end")]
+    assert got == sorted(want)
+    facts = {r.file[-5]: (r.size, r.ends_with_newline) for r in jsonl.file_facts(spark, str(tmp_path)).collect()}
+    assert facts["b"] == (5, True) and facts["d"] == (6, False) and "c" not in facts
