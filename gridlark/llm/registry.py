@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridlark.llm.decontaminate import op10_decontaminate
+from gridlark.llm.divergence import DIVERGENCE_SQL, op12_source_divergence
 from gridlark.llm.line_dedup import op5_line_dedup
 from gridlark.llm.mixing import MIX_SQL, op3_mixing
 from gridlark.llm.near_dedup import op4_near_dedup
+from gridlark.llm.packing import op13_packing
 from gridlark.llm.pii import op8_pii
 from gridlark.llm.quality import op1_quality
 from gridlark.llm.secrets import op7_secrets
@@ -28,5 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op8_pii": op8_pii,
     "op10_decontaminate": op10_decontaminate,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_packing": op13_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op3_mixing": MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": MIX_SQL, "op12_source_divergence": DIVERGENCE_SQL}
