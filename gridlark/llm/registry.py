@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridlark.llm.conversations import op11_conversation_repair
 from gridlark.llm.decontaminate import op10_decontaminate
 from gridlark.llm.divergence import DIVERGENCE_SQL, op12_source_divergence
 from gridlark.llm.line_dedup import op5_line_dedup
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op8_pii": op8_pii,
     "op10_decontaminate": op10_decontaminate,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_source_divergence": op12_source_divergence,
     "op13_packing": op13_packing,
 }
