@@ -18,6 +18,7 @@ single ids, as the library has it by default. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -33,13 +34,19 @@ WINDOW, END_ID = 2048, 1
 _SCHEMA = "doc_id long,start long,length long,ids_crc32 long,doc_tokens long,sequence_id long,offset long"
 
 
+#: Below this character letters lower to letters, and no two characters compose.
+_LATIN_END = "\u0250"
+#: The pre-tokens of lower-case words of printable characters below it: contractions, letters, single digits, anything else.
+_PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_²³¹¼½¾]+|[\\d²³¹¼½¾]|(?:[^\\w\\s]|_)+")
+
+
 class WordEncoder:
     """Texts to id bytes with a vocabulary file whose pre-tokenizer never looks across white space.
 
     What a word becomes is kept in two generations of ``bound`` bytes each.
     """
 
-    def __init__(self, path: str, bound: int = 32 << 20):
+    def __init__(self, path: str, bound: int = 80 << 20):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -47,23 +54,48 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.bound, self.new, self.old, self.size = bound, {"": b""}, {}, 0
+        # a vocabulary that marks the last token of each pre-token shows where one ends
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(size, bool)
+            self.ends[[k for t, k in self.library.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
 
     def _coded(self, texts: list[str]) -> Iterator[bytes]:
         for k in range(0, len(texts), 4096):
             for e in self.library.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False):
                 yield np.array(e.ids, self.dtype).tobytes()
 
+    def _coded_together(self, words: list[str]) -> Iterator[bytes]:
+        """Words whose pre-tokens are known to the pattern here: many in one text, cut where as many pre-tokens have ended."""
+        for k in range(0, len(words), 8192):
+            some = words[k : k + 8192]
+            flat = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(self.ends[flat]) + 1
+            cut = np.cumsum([1 if w.isalpha() else len(_PRE_TOKEN.findall(w.lower())) for w in some])
+            if cut[-1] != len(ends):
+                yield from self._coded(some)
+                continue
+            edge = [0, *(ends[cut - 1] * self.dtype.itemsize).tolist()]
+            flat = flat.tobytes()
+            for a, b in zip(edge, edge[1:]):
+                yield flat[a:b]
+
     def _fill(self, words: set[str]) -> None:
-        missing = []
+        plain, other, old, bytes_ = [], [], self.old, 0
         for w in words - self.new.keys():
-            if (known := self.old.get(w)) is None:
-                missing.append(w)
-            else:
+            if (known := old.get(w)) is not None:
                 self.new[w] = known
-                self.size += ENTRY + len(w) + len(known)
-        for w, coded in zip(missing, self._coded(missing)):
-            self.new[w] = coded
-            self.size += ENTRY + len(w) + len(coded)
+                bytes_ += ENTRY + len(w) + len(known)
+            elif self.ends is not None and max(w) < _LATIN_END and w.isprintable() and "\u0130" not in w:
+                plain.append(w)
+            else:
+                other.append(w)
+        for own, coded in ((plain, self._coded_together(plain)), (other, self._coded(other))):
+            for w, c in zip(own, coded):
+                self.new[w] = c
+                bytes_ += ENTRY + len(w) + len(c)
+        self.size += bytes_
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.size > self.bound:
