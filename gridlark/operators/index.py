@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,14 +54,15 @@ def merged_observations(t: DataFrame, window: int, keys: list[str] | None = None
     keys = keys or ["fingerprint"]
     order = W.partitionBy(*keys).orderBy("seq")
     high = F.max("observed_epoch").over(order.rowsBetween(W.unboundedPreceding, -1))
-    low = F.min("observed_epoch").over(order.rowsBetween(0, W.unboundedFollowing))
-    marked = t.withColumn("high", high).withColumn("low", low)
+    # the least later time as a running minimum from the end: a frame that reaches forward to the end is worked out anew for every row
+    low = F.min("observed_epoch").over(W.partitionBy(*keys).orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, 0))
+    marked = t.withColumn("low", low).withColumn("high", high)
     marked = marked.withColumn("stretch", F.sum(F.when(F.col("low") - F.col("high") > window, 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0)))
     late = F.coalesce(F.bool_or(F.col("observed_epoch") < F.col("high")).over(W.partitionBy(*keys, "stretch")), F.lit(False))
-    marked = marked.withColumn("late", late).drop("high", "low")
+    marked = marked.withColumn("late", late).drop("high")
     names = [c for c in ("event_id", "session_id", "severity", "technique_ids", "techniques") if c in t.columns]
-    marked = marked.select(*keys, "seq", "observed_epoch", *names, "stretch", "late")
-    ordered = marked.where("not late").drop("late").withColumn("part", F.lit(0).cast("bigint"))
+    marked = marked.select(*keys, "seq", "observed_epoch", *names, "stretch", "late", "low")
+    ordered = marked.where("not late").drop("late", "low").withColumn("part", F.lit(0).cast("bigint"))
     by = [*keys, "stretch", "part"]
     folded = _folded(marked.where("late").drop("late"), keys, window)
     first = lambda c: F.min_by(c, "seq").alias(c)
@@ -69,24 +72,42 @@ def merged_observations(t: DataFrame, window: int, keys: list[str] | None = None
 
 
 def _folded(late: DataFrame, keys: list[str], window: int) -> DataFrame:
-    """Adds ``part``, the merged row of its stretch that an event joins."""
+    """Adds ``part``, the merged row of its stretch that an event joins, in place of ``low``, the least time still to come.
+
+    The last times of rows that an event may still join are held in order; those more than ``window`` before ``low`` are dropped, so a
+    stretch of any length holds the rows open at a time, and an event costs a binary search.
+    """
     by = [*keys, "stretch"]
     spread = late.repartition(*by).sortWithinPartitions(*by, "seq")
 
     def fold(frames):
-        at, lasts = None, []
+        at, lasts, rows, made = None, [], [], 0
         for pdf in frames:
             parts = []
-            for key, t in zip(zip(*(pdf[c] for c in by)), pdf["observed_epoch"]):
+            for key, t, low in zip(zip(*(pdf[c] for c in by)), pdf["observed_epoch"], pdf.pop("low")):
                 if key != at:
-                    at, lasts = key, []
-                fits = [(last, -k) for k, last in enumerate(lasts) if t - window <= last <= t]
-                k = -max(fits)[1] if fits else len(lasts)
-                lasts[k : k + 1] = [t]
-                parts.append(k)
+                    at, lasts, rows, made = key, [], [], 0
+                if gone := bisect_left(lasts, low - window):
+                    del lasts[:gone], rows[:gone]
+                # of equal last times the earliest row
+                k = bisect_right(lasts, t) - 1
+                if k >= 0 and lasts[k] >= t - window:
+                    k = bisect_left(lasts, lasts[k])
+                    row = rows[k]
+                    del lasts[k], rows[k]
+                else:
+                    row = made
+                    made += 1
+                k = bisect_left(lasts, t)
+                while k < len(lasts) and lasts[k] == t and rows[k] < row:
+                    k += 1
+                lasts.insert(k, t)
+                rows.insert(k, row)
+                parts.append(row)
             yield pdf.assign(part=parts)
 
-    return spread.mapInPandas(fold, T.StructType([*late.schema.fields, T.StructField("part", T.LongType())]))
+    kept = [f for f in late.schema.fields if f.name != "low"]
+    return spread.mapInPandas(fold, T.StructType([*kept, T.StructField("part", T.LongType())]))
 
 
 def import_batch(incoming: DataFrame, ledger: DataFrame) -> DataFrame:
