@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,11 @@ EVENT = T.StructType(
 )
 
 
+def not_blank(column: str):
+    """Is there anything but white space?"""
+    return F.length(F.btrim(column, F.lit(" \t\r\n\x0b\x0c"))) > 0
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value): lines are numbered from 1 in each file, in however many splits it is read.
 
@@ -44,26 +50,72 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(splits, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), "value")
 
 
-def file_facts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, size, sha256, ends_with_newline) of raw files, read in tasks; a file must fit in one of them. Files without a byte are not listed."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), (F.substring("content", -1, 1) == F.lit(b"\n")).alias("ends_with_newline"))
+def file_facts(spark: SparkSession, path: str, chunk: int = 8 << 20) -> DataFrame:
+    """(file, size, sha256, ends_with_newline, newlines) of raw files of any size, files without a byte included.
+
+    Spark lists the files without reading them; a task streams a file through the digest, a chunk at a time. A digest
+    is sequential, so a file is one task's work; its lines are read in splits beside it.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "length")
+
+    def facts(batches):
+        from pyarrow import fs
+
+        for pdf in batches:
+            out = []
+            for file in pdf["file"]:
+                store, at = fs.FileSystem.from_uri(file)
+                digest, size, newlines, last = hashlib.sha256(), 0, 0, b""
+                with store.open_input_stream(at) as stream:
+                    while data := stream.read(chunk):
+                        digest.update(data)
+                        size, newlines, last = size + len(data), newlines + data.count(b"\n"), data[-1:]
+                out.append((file, size, digest.hexdigest(), last == b"\n", newlines))
+            yield pd.DataFrame(out, columns=["file", "size", "sha256", "ends_with_newline", "newlines"])
+
+    read = files.repartition("file").mapInPandas(facts, "file string, size long, sha256 string, ends_with_newline boolean, newlines long")
+    empty = [(file, 0, hashlib.sha256().hexdigest(), False, 0) for file in _empty_files(spark, path)]
+    return read.unionByName(spark.createDataFrame(empty, read.schema)) if empty else read
+
+
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Files without a byte, which Spark's readers leave out of their listing; asked of the file system in pages."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for top in store.globStatus(root) or []:
+        below = store.listFiles(top.getPath(), True)
+        while below.hasNext():
+            f = below.next()
+            name = f.getPath().getName()
+            if f.getLen() == 0 and not name.startswith(("_", ".")):
+                uri = f.getPath().toUri().toString()
+                found.append(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    return found
+
+
+def read_public(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value) of files whose records may all be published; the first ten findings are an error otherwise."""
+    from gridlark.operators.walk import require_public
+
+    return require_public(read_lines(spark, path))
 
 
 def read_events(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Typed events with the raw text beside them. Blank lines are skipped; a bad line is an error when ``strict``."""
-    lines = spark.read.option("lineSep", "\n").text(path).where(F.length(F.trim("value")) > 0)
+    """Typed events with the raw text beside them. Blank lines are skipped; a bad line is an error, with its number, when ``strict``."""
     bad = F.try_parse_json("value").isNull() | F.json_object_keys("value").isNull()
     if strict:
-        lines = lines.where(F.when(bad, F.raise_error(F.lit("a line is not a JSON object")).cast("boolean")).otherwise(True))
+        lines = read_lines(spark, path).where(not_blank("value"))
+        where = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(" of "), F.substring_index("file", "/", -1), F.lit(" is not a JSON object"))
+        lines = lines.where(F.when(bad, F.raise_error(where).cast("boolean")).otherwise(True))
     else:
-        lines = lines.where(~bad)
+        lines = spark.read.option("lineSep", "\n").text(path).where(not_blank("value") & ~bad)
     return lines.select(F.from_json("value", EVENT).alias("e"), F.col("value").alias("raw")).select("e.*", "raw")
 
 
 def canonical(record: dict) -> str:
-    """Sorted keys, no spaces, text as it is."""
-    return json.dumps(record, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
+    """Sorted keys, no spaces, ASCII alone."""
+    return json.dumps(record, sort_keys=True, separators=(",", ":"), default=str)
 
 
 @F.pandas_udf(T.StringType())
@@ -108,6 +160,14 @@ def write_once(path: str, content: bytes) -> str:
     return digest
 
 
+#: Fixed columns of the public export, in order.
+POINT_COLUMNS = ("source", "country", "latitude", "longitude", "protocol", "events", "sessions", "first_seen", "last_seen", "max_severity", "control_attempts", "techniques")
+
+
+def public_points(points: DataFrame) -> DataFrame:
+    """The allowed columns of map points alone; one that isn't there is null."""
+    return points.select(*(F.col(c) if c in points.columns else F.lit(None).cast("string").alias(c) for c in POINT_COLUMNS))
+
+
 def map_points_csv(points: DataFrame, path: str) -> None:
-    """The public columns of map points; the review score stays inside."""
-    points.drop("public_review_score").write.mode("errorifexists").csv(path, header=True)
+    public_points(points).write.mode("errorifexists").csv(path, header=True)

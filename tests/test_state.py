@@ -1,5 +1,6 @@
 """Index, gates, rules, sources and streams on small inputs."""
 
+import hashlib
 import json
 
 import pytest
@@ -87,10 +88,10 @@ def test_jsonl_round_trip(spark, tmp_path):
     jsonl.write_events(e.drop("raw"), f"file://{tmp_path}/out")
     assert jsonl.read_events(spark, f"file://{tmp_path}/out").count() == 1
     (tmp_path / "bad.jsonl").write_text("{\n")
-    with pytest.raises(Exception, match="not a JSON object"):
+    with pytest.raises(Exception, match="line 1 of bad.jsonl is not a JSON object"):
         jsonl.read_events(spark, f"file://{tmp_path}/bad.jsonl").collect()
     got = spark.createDataFrame([('{"b": 1.0, "a": "\\u00e9"}',), ("{",)], "v string").select(jsonl.canonical_text("v")).collect()
-    assert [r[0] for r in got] == ['{"a":"é","b":1.0}', None]
+    assert [r[0] for r in got] == ['{"a":"\\u00e9","b":1.0}', None]
     assert jsonl.write_once(str(tmp_path / "f"), b"1") == jsonl.write_once(str(tmp_path / "f"), b"1")
     with pytest.raises(FileExistsError):
         jsonl.write_once(str(tmp_path / "f"), b"2")
@@ -172,5 +173,6 @@ def test_line_numbers_of_split_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     want = [(name, k, x) for name, lines in texts.items() for k, x in enumerate(lines, 1)] + [("d", 1, "no end")]
     assert got == sorted(want)
-    facts = {r.file[-5]: (r.size, r.ends_with_newline) for r in jsonl.file_facts(spark, str(tmp_path)).collect()}
-    assert facts["b"] == (5, True) and facts["d"] == (6, False) and "c" not in facts
+    facts = {r.file[-5]: (r.size, r.ends_with_newline, r.newlines, r.sha256) for r in jsonl.file_facts(spark, str(tmp_path), 1000).collect()}
+    assert facts["b"][:3] == (5, True, 3) and facts["d"][:3] == (6, False, 0) and facts["c"][:3] == (0, False, 0) and facts["a"][2] == 4000
+    assert all(f[3] == hashlib.sha256((tmp_path / f"{name}.txt").read_bytes()).hexdigest() for name, f in facts.items())
