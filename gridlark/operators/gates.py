@@ -116,20 +116,30 @@ def record_errors(keys: Column) -> Column:
 
 
 def inspect_lines(lines: DataFrame) -> DataFrame:
-    """(line_no, value) -> event_id, error codes and classification of each line; blank lines are passed over."""
-    held = lines.where(F.length(F.trim("value")) > 0)
-    one = with_fields(held.select("line_no", F.octet_length("value").alias("size"), F.try_parse_json("value").alias("v"), F.json_object_keys("value").alias("keys")).withColumn("kind", F.schema_of_variant("v")))
-    state = F.when(F.col("size") >= MAX_RECORD_BYTES, "oversized_record").when(F.col("v").isNull(), "malformed_json").when(~F.col("kind").startswith("OBJECT"), "record_not_object")
+    """(line_no, value) -> event_id, error codes and classification of each line; blank lines are passed over.
+
+    Lines may name their ``file`` (ids then repeat within a file), and say by ``newline`` whether they end with one. The text ``null`` is
+    no record and no error.
+    """
+    files = [c for c in ("file",) if c in lines.columns]
+    ended = F.col("newline") if "newline" in lines.columns else F.lit(True)
+    held = lines.where(F.length(F.btrim("value", F.lit(" \t\r\n\x0b\x0c"))) > 0)
+    size = F.octet_length("value") + F.when(ended, 1).otherwise(0)
+    fine_text = F.is_valid_utf8("value")
+    one = with_fields(held.select(*files, "line_no", size.alias("size"), ended.alias("ended"), F.when(fine_text, F.try_parse_json("value")).alias("v"), F.when(fine_text, F.json_object_keys("value")).alias("keys")).withColumn("kind", F.schema_of_variant("v")))
+    state = F.when(F.col("size") > MAX_RECORD_BYTES, "oversized_record").when(F.col("v").isNull(), "malformed_json").when(F.col("kind") == "VOID", "null").when(~F.col("kind").startswith("OBJECT"), "record_not_object")
     one = one.withColumn("state", state)
     fine = F.col("state").isNull()
-    one = one.select("*", F.when(fine, F.col("t_event_id")).alias("event_id"), F.when(fine, F.col("b_is_demo")).alias("is_demo"), F.when(fine, F.coalesce("b_sanitized", F.lit(False))).alias("sanitized"))
+    only = lambda c: F.when(fine, F.col(c))
+    one = one.select("*", only("t_event_id").alias("event_id"), only("b_is_demo").alias("is_demo"), F.when(fine, F.coalesce("b_sanitized", F.lit(False))).alias("sanitized"))
     # duplicates are found by the first line of each id: counts combine before the shuffle, no sort of a hot id's rows
-    first = one.where("event_id is not null").groupBy("event_id").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n")).where("n > 1").drop("n")
-    own = F.when(fine, record_errors(F.col("keys"))).otherwise(F.array("state"))
-    one = one.select("line_no", "event_id", own.alias("own"), "is_demo", "sanitized").join(first, "event_id", "left")
-    again = F.when(F.col("line_no") > F.col("first_line"), F.array(F.lit("duplicate_event_id")))
-    codes = F.when(again.isNull(), F.col("own")).otherwise(F.array_sort(F.concat("own", again)))
-    return one.select("line_no", "event_id", codes.alias("codes"), "is_demo", "sanitized")
+    first = one.where("event_id is not null").groupBy(*files, "event_id").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n")).where("n > 1").drop("n")
+    own = F.when(fine, record_errors(F.col("keys"))).when(F.col("state") == "null", F.array().cast("array<string>")).otherwise(F.array("state"))
+    said = [only(f"t_{c}").alias(c) for c in ("observed_at", "protocol", "event_type")]
+    one = one.select(*files, "line_no", "event_id", own.alias("own"), "ended", "is_demo", "sanitized", *said).join(first, [*files, "event_id"], "left")
+    more = F.array_compact(F.array(F.when(F.col("line_no") > F.col("first_line"), "duplicate_event_id"), F.when(~F.col("ended"), "incomplete_final_line")))
+    codes = F.when(F.size(more) == 0, F.col("own")).otherwise(F.array_sort(F.concat("own", more)))
+    return one.select(*files, "line_no", "event_id", codes.alias("codes"), "is_demo", "sanitized", "observed_at", "protocol", "event_type")
 
 
 def preflight_report(inspected: DataFrame) -> DataFrame:
