@@ -14,7 +14,7 @@ from gridlark.functions import crypto
 from gridlark.operators import bundle, gates, index, report, stix, walk
 from gridlark.operators.gates import address_literal
 from gridlark.sources import jsonl
-from gridlark.sources.commits import Commit, Ledger, canonical_json, table_digest
+from gridlark.sources.commits import Commit, Folder, Ledger, canonical_json, table_digest
 from gridlark.sources.foreign import strip_credentials
 
 VERSION = "gridlark-handoff-1.0"
@@ -168,6 +168,14 @@ def finalize(spark: SparkSession, path: str, folder: str, *, fingerprint_secret:
     return commit.finish(plan | {"event_schema": VERSION, "data_classification": "synthetic_demo" if facts["classification"] == "synthetic" else "sanitized_observed_private", "manual_review_still_required": True})
 
 
+def last_run(spark: SparkSession, folder: str) -> Commit:
+    """The one finished run below ``folder``; more or fewer is an error."""
+    done = [c for name in Folder(spark, folder).names() if (c := Commit(spark, folder, name)).manifest() is not None]
+    if len(done) != 1:
+        raise ValueError(f"there are {len(done)} finished runs")
+    return done[0]
+
+
 def _in_order(lines: DataFrame) -> DataFrame:
     """Adds ``seq``: lines in order of file and number, from running totals over files."""
     sizes = lines.groupBy("file").agg(F.max("line_no").alias("n"))
