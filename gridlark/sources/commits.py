@@ -223,6 +223,10 @@ class Ledger:
         entries = sorted(self.committed().values(), key=lambda e: (e["order"], e["attempt"]))[:at]
         return self.spark.read.parquet(*(f"{self.files.path}/{e['attempt']}" for e in entries)) if entries else None
 
+    def rows_of(self, input_digest: str) -> DataFrame:
+        """The rows of one committed input."""
+        return self.spark.read.parquet(f"{self.files.path}/{self.committed()[input_digest]['attempt']}")
+
     def sink(self, digest_of: Callable[[DataFrame, int], str] | None = None) -> Callable[[DataFrame, int], None]:
         """For ``foreachBatch``: a micro-batch that comes again after a crash is appended once."""
 

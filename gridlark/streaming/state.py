@@ -82,6 +82,13 @@ def suppressed_alerts(alerts: DataFrame, seconds: int = SUPPRESS_SECONDS) -> Dat
     return alerts.select("alert_key", "seq", "epoch").groupBy("alert_key").applyInPandasWithState(step, schema, "accepted long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def alert_payloads(events: DataFrame, secret: bytes) -> DataFrame:
+    """(event_id, payload): what may leave of high-severity events, as JSON text; the source is a keyed hash."""
+    source_hash = F.substring(crypto.hmac_sha256(F.encode("source_ip", "UTF-8"), secret), 1, 24)
+    payload = F.struct(F.lit("alert-1").alias("schema"), F.col("observed_at").cast("string").alias("observed_at"), "protocol", "severity", F.col("technique_ids"), source_hash.alias("source_hash"))
+    return events.where(F.lower("severity") == "high").select("event_id", F.to_json(payload).alias("payload"))
+
+
 def register_updates(requests: DataFrame, writable: tuple[int, int] = (0, 99)) -> DataFrame:
     """A simulated device's registers: ordered writes by sensor; refused outside ``writable``.
 
