@@ -31,7 +31,8 @@ from gridlark.llm.common import held, scan, shared_dir, ship, slices, table, wri
 #: ASCII letters are lower-cased, other ASCII but digits separates words, bytes of non-ASCII stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c > 127 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-MAX_BLOCK_BYTES = 64 << 20
+#: Window text of a block. An automaton takes some 36 times its text, in each Python worker: about 300 MB.
+MAX_BLOCK_BYTES = 8 << 20
 _SCHEMA = "doc_id long,n_words long,n_hit long,n_items long,items_sha256 string,contaminated boolean,items string,spans string"
 
 

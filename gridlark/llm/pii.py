@@ -328,7 +328,7 @@ def train(docs: DataFrame, max_docs: int = 3000, max_regions: int = 150, epochs:
     """Weights (type x feature) and moves.
 
     The sample is the ``max_docs`` documents with the smallest hashes of doc_id and text (equal rows count as
-    one); of their regions the ``max_regions`` with the smallest hashes come to the driver.
+    one); of their different regions the ``max_regions`` with the smallest hashes come to the driver.
     """
     key = F.xxhash64("doc_id", "text")
     edge = docs.select(key.alias("h")).distinct().orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
@@ -342,7 +342,7 @@ def train(docs: DataFrame, max_docs: int = 3000, max_regions: int = 150, epochs:
                     out += pieces(text[a:b])
             return {"region": out}
 
-        rows = scan(docs.where(key <= edge), ["doc_id", "text"], find, "region string")
+        rows = scan(docs.where(key <= edge).select("doc_id", "text").distinct(), ["doc_id", "text"], find, "region string").distinct()
         for r in rows.orderBy(F.xxhash64("region"), "region").limit(max_regions).collect():
             spans = ordered(base_spans(r["region"]))
             # overlapping labels can't be one segmentation

@@ -6,7 +6,7 @@ decides whether the text stays, after fixed base rules.
 
 The chain is trained here, on a bounded, documented sample: at most ``max_labelled`` rows of
 ``labels``, of each quality those with the smallest hashes of doc_id and text, with all lines of their
-texts. Only documents are labelled, so the states of lines are hidden: a good document is all content,
+texts, up to 400 000 lines; texts of more than a sixteenth of that are judged, not trained on. Only documents are labelled, so the states of lines are hidden: a good document is all content,
 and a poor one holds a boilerplate line somewhere. Training maximises the likelihood of that, so lines
 of poor documents that look like those of good ones stay content. Without labels of both kinds every
 line counts as content.
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import release, scan, ship, slices, table, written
@@ -190,8 +190,8 @@ def train_chain(texts: list[tuple[np.ndarray, int]], epochs: int = 120, rate: fl
     return w, move
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000) -> tuple[np.ndarray, np.ndarray]:
-    """The chain from a bounded labelled sample; features come to the driver, not texts."""
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_lines: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+    """The chain from a bounded labelled sample; features come to the driver, not texts: ``max_lines`` of 60 bytes at most."""
     known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
     # half for each kind, so that a rare kind is in the sample; what one leaves free goes to the other
     ranked = [known.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled) for y in (0, 1)]
@@ -211,7 +211,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000) -> tuple[n
         return {"quality": batch.column(2), "by": batch.column(3), "x": [x[b - c["n_lines"] : b].tobytes() for b, c in zip(ends, counts)]}
 
     found = written(scan(sample, ["doc_id", "text", "quality", "by"], features, "quality long,by long,x binary"), "labelled")
-    rows = [r for y in (0, 1) for r in found.where(F.col("quality") == y).orderBy("by").limit(max(1, take[y])).collect()]
+    # what comes here is bounded in bytes too: very long texts are left out, and of each kind texts come until half of the lines are taken
+    width = 4 * len(FEATURES)
+    taken = F.sum(F.length("x")).over(Window.partitionBy("quality").orderBy("by", "x").rowsBetween(Window.unboundedPreceding, 0))  # over a bounded sample
+    held = found.where(F.length("x") <= width * max_lines // 16)
+    rows = [r for y in (0, 1) for r in held.where(F.col("quality") == y).orderBy("by").limit(max(1, take[y])).withColumn("taken", taken).where(F.col("taken") <= width * max_lines // 2).collect()]
     rows.sort(key=lambda r: (r["quality"], r["by"], bytes(r["x"])))
     return train_chain([(np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, len(FEATURES)), int(r["quality"])) for r in rows])
 

@@ -137,7 +137,7 @@ def train(docs: DataFrame, max_docs: int = 2000) -> np.ndarray:
 
     total = np.stack([pair_counts(random_strings()), pair_counts(ordinary_strings())])
     if edge is not None:
-        counted = scan(docs.where(key <= edge), ["doc_id", "text"], count, "cell long,n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        counted = scan(docs.where(key <= edge).select("doc_id", "text").distinct(), ["doc_id", "text"], count, "cell long,n long").groupBy("cell").agg(F.sum("n").alias("n"))
         for row in counted.collect():  # a row for each pair of characters at most
             total.reshape(-1)[row["cell"]] += row["n"]
     return fit(*total)

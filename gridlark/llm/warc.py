@@ -219,14 +219,16 @@ def read_archives(spark: SparkSession, files: list[dict], folder: str) -> DataFr
         for batch in batches:
             for row in batch.to_pylist():
                 with store.open_input_stream(f"{row['path']}.idx") as f, store.open_input_file(row["path"]) as data:
-                    rest, rows = b"", []
+                    rest, rows = b"", []  # of a record only what is returned is held, never its payload
                     while chunk := f.read(_CHUNK):
                         *lines, rest = (rest + chunk).split(b"\n")
                         for line in lines:
                             at = json.loads(line)
                             data.seek(at["offset"])
-                            rows.append(read_member(data.read(at["length"])))
-                        yield pa.RecordBatch.from_pylist([{k: r[k] for k in target.names} for r in rows], schema=target)
+                            member = read_member(data.read(at["length"]))
+                            rows.append({k: member[k] for k in target.names})
+                            del member
+                        yield pa.RecordBatch.from_pylist(rows, schema=target)
                         rows = []
 
     return _file_rows(spark, files).mapInArrow(read, _OUT)
