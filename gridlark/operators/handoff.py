@@ -107,15 +107,18 @@ def sanitised_text(value: Column, salt: str) -> Column:
 
 
 def events_of(lines: DataFrame) -> DataFrame:
-    """Typed events of checked lines, with what the index needs: arrival (seq), time, source, payload stand-in."""
-    e = lines.select("line_no", F.from_json("value", jsonl.EVENT).alias("e")).select(F.col("line_no").alias("seq"), "e.*")
+    """Typed events of checked lines, with what the index needs: arrival (seq), time, and the material of its fingerprint."""
+    # a sanitised record holds no payload: source, protocol, kind and what was decoded stand for it, as canonical JSON
+    part = lambda name: F.coalesce(F.to_json(F.try_variant_get(F.try_parse_json("value"), f"$.{name}", "variant")), F.lit("null"))
+    material = jsonl.canonical_text(F.concat(F.lit("["), F.concat_ws(",", *map(part, ("source_id", "protocol", "event_type", "decoded"))), F.lit("]")))
+    e = lines.select("line_no", F.from_json("value", jsonl.EVENT).alias("e"), material.alias("material")).select(F.col("line_no").alias("seq"), "material", "e.*")
     e = e.withColumn("observed_epoch", F.col("observed_at").cast("timestamp").cast("long"))
-    # sanitised records hold no payload: what was decoded stands for it
-    return e.withColumn("payload", F.to_json("decoded").cast("binary")).withColumn("technique_ids", F.transform("techniques", lambda t: t["technique_id"]))
+    return e.withColumn("technique_ids", F.transform("techniques", lambda t: t["technique_id"]))
 
 
 def observation_index(events: DataFrame, secret: str) -> DataFrame:
-    keyed = events.withColumn("fingerprint", crypto.fingerprint(F.col("source_id"), F.col("protocol"), F.col("payload"), crypto.require_secret(secret).encode()))
+    """Merged observations by the keyed digest of what each record says."""
+    keyed = events.withColumn("fingerprint", crypto.hmac_sha256(F.encode("material", "UTF-8"), crypto.require_secret(secret).encode()))
     return index.merged_observations(keyed, 1800, ["fingerprint", "source_id", "protocol", "is_demo"])
 
 

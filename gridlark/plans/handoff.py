@@ -90,8 +90,8 @@ def handoff_sanitised(spark, sf_dir):
     return clean.select(F.get_json_object("value", "$.event_id").alias("event_id"), F.sha2("value", 256).alias("digest"))
 
 
-_ISLANDS = """, g AS (SELECT *, observed_epoch - lag(observed_epoch) OVER w AS gap FROM tel WINDOW w AS (PARTITION BY source_id, protocol, operation ORDER BY seq)), i AS (SELECT *, sum(CASE WHEN gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, protocol, operation ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM g),
-x AS (SELECT source_id, protocol, operation, island, arg_min(event_id, seq) AS event_id, min(observed_epoch) AS first_seen, max(observed_epoch) AS last_seen, count(*) AS repeat_count FROM i GROUP BY ALL)"""
+_ISLANDS = """, g AS (SELECT *, observed_epoch - lag(observed_epoch) OVER w AS gap FROM tel WINDOW w AS (PARTITION BY source_id, protocol, event_type, operation ORDER BY seq)), i AS (SELECT *, sum(CASE WHEN gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, protocol, event_type, operation ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM g),
+x AS (SELECT source_id, protocol, event_type, operation, island, arg_min(event_id, seq) AS event_id, min(observed_epoch) AS first_seen, max(observed_epoch) AS last_seen, count(*) AS repeat_count FROM i GROUP BY ALL)"""
 
 
 @query("handoff_index", T + _ISLANDS + " SELECT event_id, source_id, protocol, first_seen, last_seen, repeat_count FROM x")

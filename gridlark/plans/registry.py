@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports every module that declares queries."""
-    from gridlark.plans import dashboard, detection, evidence, gates, handoff, index, stix, streams  # noqa: F401
+    from gridlark.plans import dashboard, detection, evidence, gates, handoff, index, stix, streams, workspace  # noqa: F401
