@@ -168,3 +168,14 @@ def coarse(value: Column) -> Column:
 def valid_coordinates(latitude: Column, longitude: Column) -> Column:
     lat, lon = latitude.try_cast("double"), longitude.try_cast("double")
     return F.coalesce(lat.between(-90, 90) & lon.between(-180, 180) & ~F.isnan(lat) & ~F.isnan(lon), F.lit(False))
+
+
+def next_step(priority: Column) -> Column:
+    """What to do with an event of a priority; a fallback for an unknown one."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in C.NEXT_STEPS.items() for x in pair)), priority), F.lit(C.OTHER_STEP))
+
+
+def analyst_note(priority: Column) -> Column:
+    """A short note for a queue; an unknown priority is an error."""
+    note = F.element_at(F.create_map(*(F.lit(x) for pair in C.NOTES.items() for x in pair)), priority)
+    return F.coalesce(note, F.raise_error(F.lit("a priority is unknown")).cast("string"))

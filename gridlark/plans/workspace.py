@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridlark.functions import catalog as C
+from gridlark.functions import enrich
 from gridlark.functions.enrich import valid_coordinates
 from gridlark.operators import detection, views, workspace
 from gridlark.plans.dashboard import _GRID, _METRICS, POINTS
 from gridlark.plans.detection import PACK
 from gridlark.plans.registry import query
-from gridlark.plans.telemetry import TELEMETRY_SQL, VIEW_CONTROLS_SQL, telemetry
-from gridlark.sources import cases
+from gridlark.plans.telemetry import TELEMETRY_SQL, VIEW_CONTROLS_SQL, raw_telemetry, telemetry
+from gridlark.sources import cases, foreign, jsonl
 from gridlark.sources.rules import read_pack
 
 T = TELEMETRY_SQL
@@ -197,3 +199,41 @@ def verified_alerts(spark, sf_dir):
     eve = F.to_json(F.struct(F.lit("alert").alias("event_type"), F.struct(sid.alias("signature_id")).alias("alert"), F.when(F.col("seq") % 10 != 0, 502).otherwise(80).alias("dest_port")))
     other = t.limit(1).select(F.lit('{"event_type":"flow"}').alias("value"))
     return cases.verified_alerts(t.select(eve.alias("value")).unionByName(other), [4210501, 4210503, 9])
+
+
+_CASE = lambda texts: "CASE priority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in texts.items()) + " END"
+
+
+@query("review_steps", T + f"SELECT event_id, {_CASE(C.NEXT_STEPS)} AS next_step, {_CASE(C.NOTES)} AS note FROM tel")
+def review_steps(spark, sf_dir):
+    return telemetry(spark, sf_dir).select("event_id", enrich.next_step(F.col("priority")).alias("next_step"), enrich.analyst_note(F.col("priority")).alias("note"))
+
+
+@query(
+    "foreign_events",
+    T + """, f AS (SELECT event_id, seq % 5 AS m, source_ip, 40000 + seq % 1000 AS port, protocol, operation, observed_epoch FROM raw), e AS (SELECT *, CASE m WHEN 3 THEN '0.0.0.0' WHEN 2 THEN '2001:db8::5' ELSE source_ip END AS ip, CASE WHEN m IN (0, 1) THEN port WHEN m = 4 THEN port ELSE 0 END AS own_port FROM f)
+SELECT event_id, ip AS source_ip, own_port::int AS source_port, protocol, CASE WHEN m IN (0, 1, 4) THEN 'protocol_request' ELSE 'connection' END AS event_type, substr(sha256('foreign-01|' || ip || '|' || own_port || '|' || observed_epoch), 1, 16) AS session_id, CASE WHEN m NOT IN (0, 1, 4) THEN 'info' WHEN m = 4 THEN 'info' WHEN operation IN ('write_single', 'write_multiple', 'single_command', 'setpoint_command', 'program_download') THEN 'high' ELSE 'info' END AS severity FROM e""",
+)
+def foreign_events(spark, sf_dir):
+    """Logs of another decoy by seq % 5: 0 a list, 1 ip:port, 2 an IPv6 text without a request, 3 no address and an empty request, 4 src_ip with a text for a request."""
+    t = raw_telemetry(spark, sf_dir)
+    m, port = F.col("seq") % 5, (F.lit(40000) + F.col("seq") % 1000).cast("int")
+    remote = F.when(m == 0, F.concat(F.lit('"remote":["'), "source_ip", F.lit('",'), port.cast("string"), F.lit("],"))).when(m == 1, F.concat(F.lit('"remote":"'), "source_ip", F.lit(":"), port.cast("string"), F.lit('",'))).when(m == 2, '"remote":"2001:db8::5",').when(m == 3, '"remote":"",').otherwise(F.concat(F.lit('"src_ip":"'), "source_ip", F.lit('","src_port":'), port.cast("string"), F.lit(",")))
+    request = F.when(m == 2, "").when(m == 3, '"request":{},').when(m == 4, '"request":"text",').otherwise(F.concat(F.lit('"request":{"operation":"'), "operation", F.lit('"},')))
+    line = F.concat(F.lit('{"event_id":"'), "event_id", F.lit('",'), remote, request, F.lit('"timestamp":"'), F.col("observed_epoch").cast("string"), F.lit('","protocol":"'), F.upper("protocol"), F.lit('"}'))
+    return foreign.normalise_foreign(t.select(line.alias("value")), "foreign-01").select("event_id", "source_ip", "source_port", "protocol", "event_type", "session_id", "severity")
+
+
+@query("canonical_digests", T + """SELECT event_id, sha256('{"a":{"k":' || k || '.5,"t":"\\u00e9"},"event_id":"' || event_id || '","z":[1,null,true]}') AS digest FROM raw""")
+def canonical_digests(spark, sf_dir):
+    """Digests of records in canonical form: sorted names, no spaces, ASCII alone."""
+    text = F.concat(F.lit('{ "z": [1, null, true], "event_id": "'), "event_id", F.lit('", "a": {"t": "é", "k": '), F.col("k").cast("string"), F.lit(".50}}"))
+    return raw_telemetry(spark, sf_dir).select("event_id", jsonl.canonical_digest(text).alias("digest"))
+
+
+@query("network_prefixes", T + "SELECT event_id, CASE seq % 3 WHEN 0 THEN '192.0.2.0/24' WHEN 1 THEN '2001:db8:' || lower(to_hex(seq % 4096 + 1)) || '::/48' END AS network FROM raw")
+def network_prefixes(spark, sf_dir):
+    """The coarse network of addresses of both versions; null for other text."""
+    t = raw_telemetry(spark, sf_dir)
+    ip = F.when(F.col("seq") % 3 == 0, F.col("source_ip")).when(F.col("seq") % 3 == 1, F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("seq") % 4096 + 1)), F.lit(":7::9"))).otherwise("none")
+    return t.select("event_id", foreign.network_of(ip).alias("network"))

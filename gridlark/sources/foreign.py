@@ -13,29 +13,37 @@ from pyspark.sql import types as T
 from gridlark.functions import crypto, enrich
 from gridlark.operators.gates import CREDENTIAL_NAMES, CREDENTIAL_PARTS
 
+#: Fixed values of events that come from a foreign log.
+NO_ADDRESS, FOREIGN_TAG = "0.0.0.0", "conpot"
 ANALYTIC = ("techniques", "severity", "threat_score", "threat_priority")
 
 
 def normalise_foreign(lines: DataFrame, sensor_id: str) -> DataFrame:
-    """Foreign JSON lines (column value) to events. ``remote`` may be a list, ip:port or ip; a lone IPv6 text stays whole."""
-    get = lambda *names: F.coalesce(*(F.get_json_object("value", f"$.{n}") for n in names))
-    remote = F.get_json_object("value", "$.remote")
+    """Foreign JSON lines (column value) to events. ``remote`` may be a list, ip:port or ip; a lone IPv6 text stays whole.
+
+    Empty fields count as missing: then the next name is asked, and at last the address is 0.0.0.0 and the time now.
+    """
+    held = lambda n: F.nullif(F.get_json_object("value", f"$.{n}"), F.lit(""))
+    get = lambda *names: F.coalesce(*map(held, names))
+    remote = F.coalesce(F.when(held("remote") != "[]", held("remote")), held("src_ip"), F.lit(NO_ADDRESS))
     listed = remote.startswith("[")
     paired = F.length(remote) - F.length(F.replace(remote, F.lit(":"))) == 1
     parts = F.split(remote, ":")
-    ip = F.when(listed, F.get_json_object("value", "$.remote[0]")).when(paired, parts[0]).otherwise(F.coalesce(remote, get("src_ip")))
+    ip = F.when(listed, F.get_json_object("value", "$.remote[0]")).when(paired, parts[0]).otherwise(remote)
     port = F.when(listed, F.get_json_object("value", "$.remote[1]")).when(paired, parts[1]).otherwise(get("src_port"))
     decoded = get("decoded", "request")
     is_object = F.json_object_keys(decoded).isNotNull()
     message = F.when(~is_object, F.substring(decoded, 1, 256))
     field = lambda name: F.when(is_object, F.get_json_object(decoded, f"$.{name}"))
-    has_request = F.coalesce(F.length(decoded) > 0, F.lit(False)) & ~decoded.isin("{}", "null")
+    has_request = F.coalesce(F.length(decoded) > 0, F.lit(False)) & ~decoded.isin("{}", "null", "[]", "0", "false")
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'")
     e = lines.select(
-        F.coalesce(get("event_id"), F.sha2("value", 256)).alias("event_id"), F.lit(sensor_id).alias("sensor_id"), get("timestamp", "observed_at").alias("observed_at"), F.lower(F.coalesce(get("protocol", "data_type"), F.lit("unknown"))).alias("protocol"),
+        F.coalesce(get("event_id"), F.sha2("value", 256)).alias("event_id"), F.lit(sensor_id).alias("sensor_id"), F.coalesce(get("timestamp", "observed_at"), now).alias("observed_at"), F.lower(F.coalesce(get("protocol", "data_type"), F.lit("unknown"))).alias("protocol"),
         F.when(has_request, "protocol_request").otherwise("connection").alias("event_type"), ip.alias("source_ip"), F.coalesce(port.try_cast("int"), F.lit(0)).alias("source_port"), F.coalesce(get("dst_port", "port").try_cast("int"), F.lit(0)).alias("destination_port"),
         F.coalesce(get("bytes", "byte_count").try_cast("int"), F.lit(0)).alias("byte_count"), F.substring(F.coalesce(get("raw_payload_hex"), F.lit("")), 1, 1024).alias("raw_payload_hex"), field("operation").alias("operation"), field("function_code").try_cast("int").alias("function_code"),
         field("signature").alias("signature"), message.alias("message"),
     )
+    e = e.withColumn("session_id", crypto.session_key(F.col("sensor_id"), F.col("source_ip"), F.col("source_port").cast("string"), F.col("observed_at"))).withColumn("tags", F.array(F.lit(FOREIGN_TAG)))
     e = e.withColumn("techniques", enrich.map_techniques(*map(F.col, ("protocol", "event_type", "operation", "function_code", "signature"))))
     return e.withColumn("severity", enrich.severity(F.col("techniques")))
 

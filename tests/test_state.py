@@ -98,10 +98,35 @@ def test_jsonl_round_trip(spark, tmp_path):
 
 
 def test_profiles():
-    text = json.dumps({"fictional": True, "profile_id": "p", "modbus": {"holding_registers": {"1": 5}, "writable_ranges": [[0, 9]]}})
-    assert profiles.load_profile(text).registers == {1: 5}
-    with pytest.raises(ValueError):
-        profiles.load_profile(text.replace("true", "false"))
+    good = {"schema_version": 1, "fictional": True, "profile_id": "pump-1", "display_name": "Pump", "sector": "water", "description": "d", "device": {"vendor": "none"}, "modbus": {"holding_registers": {"1": 5}, "writable_ranges": [[0, 9]]}}
+    p = profiles.load_profile(json.dumps(good))
+    assert (p.registers, p.writable, p.device, p.texts["sector"]) == ({1: 5}, [(0, 9)], {"vendor": "none"}, "water")
+    bad = [
+        {"fictional": False}, {"schema_version": 2}, {"profile_id": "P"}, {"other": 1}, {"s7": {"x": [{"Sub-Process": 1}, {"shell": 2}]}}, {"display_name": " "}, {"sector": "x" * 41}, {"description": "a\nb"}, {"device": {str(k): "x" for k in range(17)}},
+        {"modbus": {"holding_registers": {"70000": 1}}}, {"modbus": {"writable_ranges": [[9, 0]]}}, {"modbus": {"writable_ranges": [[1]]}}, {"modbus": []}, {"modbus": {"holding_registers": {"1": "x"}}},
+    ]
+    for change in bad:
+        with pytest.raises(ValueError):
+            profiles.load_profile(json.dumps(good | change))
+    with pytest.raises(ValueError, match="profile.s7.x\\[1\\].shell"):
+        profiles.load_profile(json.dumps(good | {"s7": {"x": [1, {"shell": 2}]}}))
+
+
+def test_foreign_fields_that_are_missing(spark):
+    rows = ["{}", '{"remote":"","src_ip":"203.0.113.1","src_port":9,"request":[],"timestamp":"t"}', '{"remote":[],"observed_at":"t","decoded":"' + "x" * 300 + '"}']
+    e = foreign.normalise_foreign(spark.createDataFrame([(r,) for r in rows], "value string"), "s1").collect()
+    assert [(r.source_ip, r.source_port, r.event_type, r.tags) for r in e] == [("0.0.0.0", 0, "connection", ["conpot"]), ("203.0.113.1", 9, "connection", ["conpot"]), ("0.0.0.0", 0, "protocol_request", ["conpot"])]
+    assert e[1].session_id == hashlib.sha256(b"s1|203.0.113.1|9|t").hexdigest()[:16] and e[0].observed_at.endswith("+00:00") and len(e[2].message) == 256
+
+
+def test_arc_of_a_point_at_home(spark):
+    from gridlark.operators import geometry
+
+    p = spark.createDataFrame([("a", "b", "c", *geometry.HOME), ("d", "b", "c", 10.0, 20.0), ("n", "b", "c", None, 2.0)], "source string, country string, protocol string, latitude double, longitude double")
+    got = {}
+    for r in geometry.great_circles(p).orderBy("step").collect():
+        got.setdefault(r.source, []).append((r.latitude, r.longitude))
+    assert got["a"] == [geometry.HOME, geometry.HOME] and len(got["d"]) == 28 and got["d"][0] == (10.0, 20.0) and got["d"][-1] == geometry.HOME and "n" not in got
 
 
 def test_registers_carry_over_blocks_without_groups_in_memory(spark):
