@@ -256,6 +256,33 @@ def test_line_dedup_recall_by_length(spark):
             assert value >= 0.9 or kind == "spread" and value >= 0.8, share
 
 
+def test_line_dedup_in_a_common_passage(spark, monkeypatch):
+    """400 lines share sixty words behind fourteen of their own: no two are alike but 60 copies, edited in one to eight words."""
+    rng = random.Random(31)
+    vocabulary = random_words(rng, 2500)
+    passage = rng.choices(vocabulary, k=60)
+    own = [rng.choices(vocabulary, k=14) + passage for _ in range(400)]
+    copies = []
+    for i in range(60):
+        words = list(own[i * 5])
+        for k in rng.sample(range(14 if i % 2 else 36), 1 + i % 8 if not i % 2 else 1 + i % 4):
+            words[k] = one_edit(rng, words[k] + "e")
+        copies.append(words)
+    rows = [(k, " ".join(w)) for k, w in enumerate(own + copies)]
+    tried, linked = {}, line_dedup._linked
+
+    def counted(pairs, texts, folder, name):
+        tried[name] = pairs.count()
+        return linked(pairs, texts, folder, name)
+
+    monkeypatch.setattr(line_dedup, "_linked", counted)
+    removed = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    print(tried)
+    assert [removed[k] for k in range(len(rows))] == [0] * 400 + [1] * 60
+    # all with all would be some 100 000
+    assert tried["across"] < 20_000
+
+
 def test_line_dedup_main_path_is_native(spark):
     docs = spark.createDataFrame(line_docs(), "doc_id long, text string")
     plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().toString()
