@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gridlark.plans.registry import query
 from gridlark.functions import crypto
@@ -30,8 +31,12 @@ def telemetry_stream(spark: SparkSession, sf_dir: str, columns: list[str], batch
     folder, t = f"{work_dir(spark)}/in", telemetry(spark, sf_dir).select(*columns)
     top = (t.agg(F.max("seq")).first()[0] or 0) + 1
     batches = max(batches, -(-top >> 20))  # a file of a million at most
+    # one pass over the table, by all tasks; then a range after another is copied
+    batch = F.expr(f"(seq * {batches} + {batches - 1}) div {top}")
+    t.withColumn("batch", F.least(batch, F.lit(batches - 1))).repartition(batches, "batch").write.partitionBy("batch").parquet(f"{folder}-ranges")
+    ranges = spark.read.schema(StructType([*t.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}-ranges")
     for k in range(batches):
-        t.where(F.col("seq").between(top * k // batches, top * (k + 1) // batches - 1)).coalesce(1).write.mode("append").parquet(folder)
+        ranges.where(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
@@ -92,7 +97,8 @@ def fanout_health(spark, sf_dir):
     t = telemetry_stream(spark, sf_dir, ["event_id", "seq", "event_type", "protocol", "observed_at", "severity", "session_id", "technique_ids", "source_ip"])
     folder = work_dir(spark)
     fan = fanout.FanOut(spark, folder, {"alerts": lambda rows: state.alert_payloads(rows, SECRETS["sensor-01"]), "connections": connections})
-    t.writeStream.foreachBatch(fan.each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    # a micro-batch is one file here: its rows are dealt to all tasks
+    t.repartition(spark.sparkContext.defaultParallelism).writeStream.foreachBatch(fan.each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     n = fan.sinks["connections"][0].read().agg(F.count("*").alias("connections"))
     return fan.health().join(F.broadcast(n)).select("total_events", "protocol_events", "connections", "delivery_failures", "behind")
 

@@ -1,6 +1,7 @@
 """Keyed state of streams: ordinals, novelty, suppression and replay keys, each equal to its batch form.
 
-State is one small value for each key, in the state store; it may start from a table of what is known already. Within a micro-batch a
+State of a key is one small value in the state store; where keys are many and short-lived, a bucket of keys (by hash) shares one value that holds
+the live ones, so that a micro-batch costs a call for each bucket and not for each key. State may start from a table of what is known already. Within a micro-batch a
 key's rows are put in order of arrival (seq); over micro-batches arrival order is the stream's. A micro-batch bounds what a key holds at
 a time; give the source a limit for each trigger.
 """
@@ -10,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gridlark.streaming.state import REPLAY_SECONDS, SUPPRESS_SECONDS, suppression_fold
@@ -49,85 +51,93 @@ def ordinals(events: DataFrame, key: str, known: DataFrame | None = None) -> Dat
     return events.select(key, "event_id", "seq").groupBy(key).transformWithStateInPandas(Ordinals(), "event_id string, seq long, ordinal long", "Append", "None", initialState=start)
 
 
-class Suppression(StatefulProcessor):
-    """Sent unless one of the key was sent less than ``seconds`` before; the time last sent goes when the watermark has passed its window."""
+class BucketState(StatefulProcessor):
+    """Times by key for a bucket of keys: each is held until the watermark has passed it, and a bucket without any is cleared by its timer."""
 
     def __init__(self, seconds: int):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.accepted = handle.getValueState("accepted", "at long")
+        self.held = handle.getValueState("held", "keys array<string>, until array<bigint>, timer bigint")
+
+    def fold(self, pdf: pd.DataFrame, until: dict[str, int]) -> pd.DataFrame:
+        """The output of rows in order; ``until`` is changed."""
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows)
-        before = self.accepted.get()[0] if self.accepted.exists() else None
-        sent, last = suppression_fold(pdf["epoch"].tolist(), before, self.seconds)
-        if last != before:
-            if before is not None:
-                self.handle.deleteTimer(self._due(before))
-            self.accepted.update((int(last),))
-            self.handle.registerTimer(self._due(last))
-        yield pd.DataFrame({"alert_key": key[0], "seq": pdf["seq"].to_numpy(), "epoch": pdf["epoch"].to_numpy(), "sent": sent})
-
-    def _due(self, at: int) -> int:
-        return (int(at) + self.seconds) * 1000
+        keys, times, timer = self.held.get() if self.held.exists() else ([], [], None)
+        until = dict(zip(keys, times))
+        out = self.fold(_ordered(rows), until)
+        self._put({k: t for k, t in until.items() if t * 1000 > timerValues.getCurrentWatermarkInMs()}, timer)
+        yield out
+
+    def _put(self, until: dict[str, int], timer: int | None) -> None:
+        due = max(until.values()) * 1000 if until else None
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is None:
+            self.held.clear()
+            return
+        self.held.update((list(until), [int(t) for t in until.values()], int(due)))
+        if timer != due:
+            self.handle.registerTimer(int(due))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # nothing that is still to come is so early that this key would silence it
-        self.accepted.clear()
+        # nothing that is still to come is so early that a key of this bucket would matter to it
+        self.held.clear()
         return iter([])
 
     def close(self) -> None:
         pass
 
 
+#: Buckets of keys.
+BUCKETS = 1024
+
+
+def _bucket(*names: str) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(BUCKETS)).alias("bucket")
+
+
+class Suppression(BucketState):
+    """Sent unless one of the key was sent less than ``seconds`` before; the time last sent goes when the watermark has passed its window."""
+
+    def fold(self, pdf: pd.DataFrame, until: dict[str, int]) -> pd.DataFrame:
+        sent = []
+        for key, epoch in zip(pdf["alert_key"].tolist(), pdf["epoch"].tolist()):
+            before = until.get(key)
+            (ok,), last = suppression_fold([epoch], None if before is None else before - self.seconds, self.seconds)
+            until[key] = last + self.seconds
+            sent.append(ok)
+        return pdf[["alert_key", "seq", "epoch"]].assign(sent=sent)
+
+
 def suppressed(alerts: DataFrame, seconds: int = SUPPRESS_SECONDS) -> DataFrame:
     """(alert_key, seq, epoch, sent) of a stream of (alert_key, seq, epoch, at); ``at`` carries the watermark."""
-    held = alerts.select("alert_key", "seq", "epoch", "at").withWatermark("at", f"{seconds} seconds")
-    return held.groupBy("alert_key").transformWithStateInPandas(Suppression(seconds), "alert_key string, seq long, epoch long, sent boolean", "Append", "EventTime")
+    held = alerts.select(_bucket("alert_key"), "alert_key", "seq", "epoch", "at").withWatermark("at", f"{seconds} seconds")
+    return held.groupBy("bucket").transformWithStateInPandas(Suppression(seconds), "alert_key string, seq long, epoch long, sent boolean", "Append", "EventTime")
 
 
-class ReplayKeys(StatefulProcessor):
+class ReplayKeys(BucketState):
     """A key is reserved until its time is over or it is released; until then other reservations of it are refused."""
 
-    def __init__(self, seconds: int):
-        self.seconds = seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.until = handle.getValueState("until", "at long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows)
-        before = until = self.until.get()[0] if self.until.exists() else None
-        out = []
-        for seq, kind, epoch in zip(pdf["seq"], pdf["kind"], pdf["epoch"]):
+    def fold(self, pdf: pd.DataFrame, until: dict[str, int]) -> pd.DataFrame:
+        free = []
+        for key, kind, epoch in zip(pdf["key"].tolist(), pdf["kind"].tolist(), pdf["epoch"].tolist()):
             if kind == "release":
-                until = None
+                until.pop(key, None)
+                free.append(False)
                 continue
-            free = until is None or until <= epoch
-            until = epoch + self.seconds if free else until
-            out.append((key[0], key[1], seq, free))
-        if until != before:
-            if before is not None:
-                self.handle.deleteTimer(int(before) * 1000)
-            if until is None:
-                self.until.clear()
-            else:
-                self.until.update((int(until),))
-                self.handle.registerTimer(int(until) * 1000)
-        yield pd.DataFrame(out, columns=["sensor_id", "event_id", "seq", "accepted"]).astype({"seq": "int64", "accepted": "bool"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.until.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+            ok = key not in until or until[key] <= epoch
+            if ok:
+                until[key] = epoch + self.seconds
+            free.append(ok)
+        return pdf.assign(accepted=free).loc[pdf["kind"] != "release", ["sensor_id", "event_id", "seq", "accepted"]]
 
 
 def reservations(requests: DataFrame, seconds: int = REPLAY_SECONDS) -> DataFrame:
     """(sensor_id, event_id, seq, accepted) of a stream of (sensor_id, event_id, seq, kind, epoch, at); kind is reserve or release, which gives no row."""
-    held = requests.select("sensor_id", "event_id", "seq", "kind", "epoch", "at").withWatermark("at", f"{seconds} seconds")
-    return held.groupBy("sensor_id", "event_id").transformWithStateInPandas(ReplayKeys(seconds), "sensor_id string, event_id string, seq long, accepted boolean", "Append", "EventTime")
+    key = F.to_json(F.array("sensor_id", "event_id")).alias("key")
+    held = requests.select(_bucket("sensor_id", "event_id"), key, "sensor_id", "event_id", "seq", "kind", "epoch", "at").withWatermark("at", f"{seconds} seconds")
+    return held.groupBy("bucket").transformWithStateInPandas(ReplayKeys(seconds), "sensor_id string, event_id string, seq long, accepted boolean", "Append", "EventTime")

@@ -1,12 +1,34 @@
 """What large inputs need: names in order, keys by bucket, documents that aren't opened."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from gridlark.plans.streams import telemetry_stream
 from gridlark.sources.files import in_files
 from gridlark.sources.jsonl import read_lines
+from gridlark.streaming import keyed
 
 
 def test_files_are_in_order_by_name(spark, tmp_path):
     lines = spark.range(25).select(F.col("id").alias("seq"), F.col("id").cast("string").alias("value"))
     read = read_lines(spark, in_files(lines, f"file://{tmp_path}/in", "seq", 2))
     assert [int(r.value) for r in read.orderBy("file", "line_no").collect()] == list(range(25))
+
+
+def test_a_bucket_holds_its_keys_apart():
+    until = {}
+    rows = pd.DataFrame({"key": ["a", "b", "a", "a", "a", "b"], "sensor_id": "s", "event_id": "e", "seq": range(6), "kind": ["reserve", "reserve", "reserve", "release", "reserve", "reserve"], "epoch": [0, 5, 10, 20, 30, 905]})
+    out = keyed.ReplayKeys(900).fold(rows, until)
+    assert list(zip(out["seq"], out["accepted"])) == [(0, True), (1, True), (2, False), (4, True), (5, True)] and until == {"a": 930, "b": 1805}
+    sent = keyed.Suppression(600).fold(pd.DataFrame({"alert_key": ["a", "b", "a", "a"], "seq": range(4), "epoch": [0, 1, 599, 600]}), {})
+    assert sent["sent"].tolist() == [True, True, False, True]
+
+
+def test_a_stream_has_its_ranges_in_order(spark, tmp_path):
+    for name in ("nation",):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"file://{tmp_path}/{name}.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_id in (0, 1, 7)").write.parquet(f"file://{tmp_path}/events.parquet")
+    seen = []
+    stream = telemetry_stream(spark, f"file://{tmp_path}", ["seq"], batches=8)
+    stream.writeStream.foreachBatch(lambda b, k: seen.append([r.seq for r in b.collect()])).option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert [s for s in seen if s] == [[0], [1], [7]]
