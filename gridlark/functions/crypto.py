@@ -55,7 +55,9 @@ def fingerprint(source_ip: Column, protocol: Column, payload: Column, secret: by
 
 def uuid5(namespace: str, name: Column) -> Column:
     """RFC 4122 version 5 of a UTF-8 name."""
-    return uuid5_of(uuid5_digest(F.lit(namespace.replace("-", "")), name))
+    # bound to a name of its own: the digest is worked out once, inside lambdas and branches too
+    digest = uuid5_digest(F.lit(namespace.replace("-", "")), name)
+    return F.get(F.transform(F.array(digest), uuid5_of), F.lit(0))
 
 
 def uuid5_digest(namespace_hex: Column, name: Column) -> Column:

@@ -105,23 +105,27 @@ def identity_id() -> Column:
 
 def bundle_objects(events: DataFrame, profile: str = PUBLIC) -> DataFrame:
     """(number, type, id, value) of every object, numbered from 0 by type and id. No event is an error of the caller: the bundle then holds the producer alone."""
+    return _numbered(bundle_parts(events, profile))
+
+
+def bundle_parts(events: DataFrame, profile: str = PUBLIC) -> DataFrame:
+    """(type, id, value) of every object, each once, without an order."""
     e = prepared(events, profile)
     lit, col = F.lit, F.col
     label = F.when(col("is_demo"), "synthetic").otherwise("live")
-    own = [
-        _object(col("source_type"), col("source_ref"), value=col("source_value")),
-        F.when(col("artifact_ref").isNotNull(), _object("artifact", col("artifact_ref"), mime_type=lit("application/octet-stream"), payload_bin=col("payload_bin"), hashes=F.struct(F.sha2("payload", 256).alias("SHA-256")))),
-        _object("network-traffic", col("traffic_ref"), protocols=F.array(lit("tcp")), src_port=col("src_port"), dst_port=col("dst_port"), src_byte_count=col("src_byte_count"), src_ref=col("source_ref"), src_payload_ref=col("artifact_ref")),
-        _object(
-            "observed-data", col("observed_ref"), created_by_ref=identity_id(), created=col("at"), modified=col("at"), first_observed=col("at"), last_observed=col("at"), number_observed=lit(1), object_refs=F.array_compact(F.array("source_ref", "artifact_ref", "traffic_ref")),
-            labels=F.array(lit("ot-honeypot"), F.when(col("is_demo"), "synthetic").otherwise("live-observation")),
-            **{_OWN + n: c for n, c in {"profile": lit(profile), "data_classification": label, "event_id": col("event_id"), "event_type": col("event_type"), "protocol": col("protocol"), "severity": col("severity"), "session_id": _filled(col("session_id")), "sensor_id": _filled(col("sensor_id")), "decoded": F.parse_json(F.when(col("decoded") != "{}", col("decoded"))), "source_id": col("source_id"), "source_country": col("source_country"), "source_country_code": col("source_country_code"), "source_asn": col("source_asn"), "data_notice": col("data_notice"), "tags": col("tags")}.items()},
-        ),
-    ]
-    seen = e.select(F.explode(F.array_compact(F.array(*own))).alias("o")).select("o.*")
-    # of a thing that many events share any one copy will do: they are equal
-    shared = seen.where("type <> 'observed-data'").groupBy("type", "id").agg(F.min("value").alias("value"))
-    observed = seen.where("type = 'observed-data'").groupBy("type", "id").agg(F.max("value").alias("value"))
+    # what many events share is made distinct by its fields, which its id stands for; texts are made of the few that are left
+    sources = e.select("source_type", "source_ref", "source_value").distinct().select(_object(col("source_type"), col("source_ref"), value=col("source_value")).alias("o"))
+    artifacts = e.where("artifact_ref is not null").select("artifact_ref", "payload_bin").distinct()
+    artifacts = artifacts.select(_object("artifact", col("artifact_ref"), mime_type=lit("application/octet-stream"), payload_bin=col("payload_bin"), hashes=F.struct(F.sha2(F.unbase64("payload_bin"), 256).alias("SHA-256"))).alias("o"))
+    traffic = e.select("traffic_ref", "src_port", "dst_port", "src_byte_count", "source_ref", "artifact_ref").distinct()
+    traffic = traffic.select(_object("network-traffic", col("traffic_ref"), protocols=F.array(lit("tcp")), src_port=col("src_port"), dst_port=col("dst_port"), src_byte_count=col("src_byte_count"), src_ref=col("source_ref"), src_payload_ref=col("artifact_ref")).alias("o"))
+    shared = sources.unionByName(artifacts).unionByName(traffic).select("o.*")
+    observation = _object(
+        "observed-data", col("observed_ref"), created_by_ref=identity_id(), created=col("at"), modified=col("at"), first_observed=col("at"), last_observed=col("at"), number_observed=lit(1), object_refs=F.array_compact(F.array("source_ref", "artifact_ref", "traffic_ref")),
+        labels=F.array(lit("ot-honeypot"), F.when(col("is_demo"), "synthetic").otherwise("live-observation")),
+        **{_OWN + n: c for n, c in {"profile": lit(profile), "data_classification": label, "event_id": col("event_id"), "event_type": col("event_type"), "protocol": col("protocol"), "severity": col("severity"), "session_id": _filled(col("session_id")), "sensor_id": _filled(col("sensor_id")), "decoded": F.parse_json(F.when(col("decoded") != "{}", col("decoded"))), "source_id": col("source_id"), "source_country": col("source_country"), "source_country_code": col("source_country_code"), "source_asn": col("source_asn"), "data_notice": col("data_notice"), "tags": col("tags")}.items()},
+    )
+    observed = e.select(observation.alias("o")).select("o.*").groupBy("type", "id").agg(F.max("value").alias("value"))
     mapped = e.select("observed_ref", "at", F.explode("techniques").alias("t")).select("observed_ref", "at", col("t.technique_id").alias("technique_id"), F.lower(F.coalesce(col("t.confidence"), lit("low"))).alias("confidence"), col("t.name").alias("name"), col("t.tactic").alias("tactic"), col("t.rationale").alias("rationale"))
     catalog = lambda k: F.element_at(F.create_map(*(x for t, v in C.TECHNIQUES.items() for x in (lit(t), lit(v[k])))), col("technique_id"))
     if profile == PUBLIC:
@@ -138,8 +142,12 @@ def bundle_objects(events: DataFrame, profile: str = PUBLIC) -> DataFrame:
     relation = _object("relationship", col("relation_ref"), created_by_ref=identity_id(), created=col("at"), modified=col("at"), relationship_type=lit("related-to"), source_ref=col("observed_ref"), target_ref=col("pattern_ref"), description=col("rationale"), confidence=score, **{f"{_OWN}confidence_label": col("confidence"), f"{_OWN}mapping_status": lit("evidence-based-hypothesis")})
     relations = mapped.select(relation.alias("o")).select("o.*").groupBy("type", "id").agg(F.max("value").alias("value"))
     producer = events.sparkSession.range(1).select(_object("identity", identity_id(), created=lit(CATALOG_CREATED), modified=lit(CATALOG_CREATED), name=lit(PRODUCER), identity_class=lit("system")).alias("o")).select("o.*")
-    parts = shared.unionByName(observed).unionByName(patterns).unionByName(relations).unionByName(_groupings(e, profile)).unionByName(producer)
-    return _numbered(parts)
+    return shared.unionByName(observed).unionByName(patterns).unionByName(relations).unionByName(_groupings(e, profile)).unionByName(producer)
+
+
+def groupings(events: DataFrame, profile: str = PUBLIC) -> DataFrame:
+    """(type, id, value) of the bundle's groupings alone."""
+    return _groupings(prepared(events, profile), profile)
 
 
 def _groupings(e: DataFrame, profile: str) -> DataFrame:

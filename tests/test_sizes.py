@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from gridlark.operators import gates, walk
 from gridlark.plans.streams import telemetry_stream
 from gridlark.sources.files import in_files
 from gridlark.sources.jsonl import read_lines
@@ -32,3 +33,22 @@ def test_a_stream_has_its_ranges_in_order(spark, tmp_path):
     stream = telemetry_stream(spark, f"file://{tmp_path}", ["seq"], batches=8)
     stream.writeStream.foreachBatch(lambda b, k: seen.append([r.seq for r in b.collect()])).option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert [s for s in seen if s] == [[0], [1], [7]]
+
+
+def test_every_private_name_and_address_is_worth_a_walk(spark):
+    names = [*gates.CREDENTIAL_NAMES, *gates.PRIVATE_NAMES, *(f"x {p}-y" for p in gates.CREDENTIAL_PARTS), "API\\nKEY", "private\\u00e9key", "Auth..Header"]
+    texts = ["192.0.2.5", "at 10.0.0.1.", "2001:db8::1", "fe80:0:0:0:1:2:3:4", "1:2:3:4:5:6:192.0.2.1", "::ffff:192.0.2.1"]
+    bad = [f'{{"a":[{{"{n}":1}}]}}' for n in names] + [f'{{"a":["{t}"]}}' for t in texts]
+    good = ['{"type":"x","id":"x--00abedb4-aa42-466c-9c01-fed23315a9b7","created":"2024-01-05T10:00:00.000Z","kind":"private"}']
+    one = spark.createDataFrame([(k, v) for k, v in enumerate(bad + good)], "line_no long, value string").withColumn("v", F.parse_json("value")).withColumn("text", F.to_json("v"))
+    got = {r.line_no: (r.w, r.n) for r in walk.walked(one).select("line_no", walk.may_be_found(F.col("text")).alias("w"), F.size(walk._field_findings("entries", "")).alias("n")).collect()}
+    assert all(w for w, n in got.values() if n) and not got[len(bad)][0]
+    closed = walk.walked(one, worth=walk.may_be_found).where(f"line_no = {len(bad)}").first()
+    assert closed.entries == []
+
+
+def test_nesting_of_shallow_and_deep(spark):
+    deep = lambda n: '{"a":[' * n + '"]}\\\\[{"' + "]}" * n
+    docs = spark.createDataFrame([(n, deep(n)) for n in (1, 3, 4, 5, 24, 40)] + [(0, '{"a":[[],{},[{}]],"b":{}}'), (-1, '"x"')], "n int, t string")
+    got = {r.n: r.d for r in docs.select("n", walk.nesting(F.col("t")).alias("d")).collect()}
+    assert got == {n: 2 * n for n in (1, 3, 4, 5, 24, 40)} | {0: 4, -1: 0}
