@@ -28,7 +28,7 @@ _MIXED, _PRIVACY = "synthetic and observed records are mixed", "raw and sanitize
 def read_numbered(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(lines with file, line_no, value and whether a newline ends them; facts of the files)."""
     facts = jsonl.file_facts(spark, path)
-    lines = jsonl.read_lines(spark, path).join(facts.select("file", "newlines"), "file")
+    lines = jsonl.read_lines(spark, path).join(F.broadcast(facts.select("file", "newlines")), "file")
     return lines.select("file", "line_no", "value", (F.col("line_no") <= F.col("newlines")).alias("newline")), facts
 
 
@@ -43,17 +43,25 @@ def preflight(inspected: DataFrame, facts: DataFrame) -> DataFrame:
     """
     time = F.when(F.col("observed_at").rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.col("observed_at").try_cast("timestamp"))
     bad = F.size("codes") > 0
-    totals = inspected.groupBy("file").agg(
-        F.count("*").alias("total_records"), F.count_if(bad).alias("invalid_records"), F.count_if(F.array_contains("codes", "duplicate_event_id")).alias("duplicate_event_ids"), _iso(F.min(time)).alias("earliest_timestamp"), _iso(F.max(time)).alias("latest_timestamp"),
+    # one pass for totals and counters: a record is counted under its file, under each of its names and under each of its codes
+    named = [F.struct(F.lit(c).alias("counter"), n.alias("name")) for c, n in (("file", F.lit("")), *((c, F.col(c)) for c in ("protocol", "event_type")))]
+    names = inspected.select(
+        "file", "is_demo", "sanitized", time.alias("time"), bad.alias("bad"), F.array_contains("codes", "duplicate_event_id").alias("again"),
+        F.explode(F.concat(F.array(*named), F.transform("codes", lambda x: F.struct(F.lit("code").alias("counter"), x.alias("name"))))).alias("x"),
+    ).select("*", "x.*").where("name is not null")
+    sums = names.groupBy("file", "counter", "name").agg(
+        F.count("*").alias("n"), F.count_if("bad").alias("invalid_records"), F.count_if("again").alias("duplicate_event_ids"), F.min("time").alias("low"), F.max("time").alias("high"),
         F.bool_or("is_demo").alias("any_demo"), F.bool_and("is_demo").alias("all_demo"), F.bool_or("sanitized").alias("any_clean"), F.bool_and("sanitized").alias("all_clean"),
     )
-    named = [F.struct(F.lit(c).alias("counter"), F.col(c).alias("name")) for c in ("protocol", "event_type")]
-    names = inspected.select("file", F.explode(F.concat(F.array(*named), F.transform("codes", lambda x: F.struct(F.lit("code").alias("counter"), x.alias("name"))))).alias("x")).select("file", "x.*").where("name is not null")
-    counts = names.groupBy("file", "counter", "name").agg(F.count("*").alias("n")).groupBy("file").agg(*(F.sort_array(F.collect_list(F.when(F.col("counter") == c, F.struct("name", "n")))).alias(c) for c in ("protocol", "event_type", "code")))
+    of_whole = lambda c: F.max(F.when(F.col("counter") == "file", F.col(c)))
+    totals = sums.groupBy("file").agg(
+        of_whole("n").alias("total_records"), _iso(of_whole("low")).alias("earliest_timestamp"), _iso(of_whole("high")).alias("latest_timestamp"), *(of_whole(c).alias(c) for c in ("invalid_records", "duplicate_event_ids", "any_demo", "all_demo", "any_clean", "all_clean")),
+        *(F.sort_array(F.collect_list(F.when(F.col("counter") == c, F.struct("name", "n")))).alias(c) for c in ("protocol", "event_type", "code")),
+    )
     order = Window.partitionBy("file").orderBy("line_no")
     said = inspected.where(bad).select("file", "line_no", F.concat(F.lit("record "), F.col("line_no").cast("string"), F.lit(" failed: "), F.array_join("codes", ", ")).alias("text"))
     said = said.withColumn("place", F.row_number().over(order)).where(F.col("place") <= MOST_ERRORS).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("said"))
-    r = facts.join(totals, "file", "left").join(counts, "file", "left").join(said, "file", "left")
+    r = facts.join(totals, "file", "left").join(said, "file", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     empty, mixed, private = zero("total_records") == 0, F.coalesce(F.col("any_demo") & ~F.col("all_demo"), F.lit(False)), F.coalesce(F.col("any_clean") & ~F.col("all_clean"), F.lit(False))
     of_file = F.array_compact(F.array(F.when(empty, F.struct(F.lit("empty_file").alias("name"), F.lit(1).cast("long").alias("n"))), F.when(mixed, F.struct(F.lit("mixed_classification").alias("name"), F.lit(1).cast("long").alias("n"))), F.when(private, F.struct(F.lit("mixed_privacy_state").alias("name"), F.lit(1).cast("long").alias("n")))))
@@ -80,7 +88,16 @@ class PreflightError(ValueError):
 def input_facts(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """The checked lines of one or more files and what a manifest says of them; files that fail raise (the first ten are named)."""
     lines, facts = read_numbered(spark, path)
-    reports = preflight(gates.inspect_lines(lines), facts)
+    # a row for each file, which is asked several times
+    reports = preflight(gates.inspect_lines(lines), facts).persist()
+    try:
+        return lines, _whole_input(reports)
+    finally:
+        reports.unpersist()
+
+
+def _whole_input(reports: DataFrame) -> dict:
+    """What a manifest says of all files together."""
     failed = reports.where(~F.col("valid")).orderBy("file").limit(10).collect()
     if failed:
         raise PreflightError([r.asDict() for r in failed])
@@ -92,7 +109,7 @@ def input_facts(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     total = reports.agg(F.sum("total_records").alias("record_count"), F.sum("file_size_bytes").alias("file_size_bytes"), F.min("earliest_timestamp").alias("earliest_timestamp"), F.max("latest_timestamp").alias("latest_timestamp"), F.first("data_classification").alias("classification"), F.first("sanitized_input").alias("sanitized_on_input"), F.min("sha256").alias("sha256")).first().asDict()
     if mixed.files > 1:
         total["sha256"] = table_digest(reports.select("sha256"))
-    return lines, total
+    return total
 
 
 def sanitised_text(value: Column, salt: str) -> Column:

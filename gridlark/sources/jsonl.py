@@ -47,7 +47,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return lines.join(splits, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), "value")
+    # a row for each split, of which the driver holds a list anyway: the lines stay where they are
+    return lines.join(F.broadcast(splits), ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), "value")
 
 
 def file_facts(spark: SparkSession, path: str, chunk: int = 8 << 20) -> DataFrame:
