@@ -35,19 +35,31 @@ class Contract:
 
     def violation(self, v: Column) -> Column:
         """The first rule that a variant breaks, null where all hold: version, presence, texts, objects, lists, values, absence."""
-        kind = lambda name: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")), F.lit("MISSING"))
-        text = lambda name: F.when(kind(name) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
-        any_of = lambda tests: F.array_contains(F.array(F.lit(False), *(F.coalesce(t, F.lit(False)) for t in tests)), True)
+        return self.broken(self.kinds(_fields(v)), self.said(_fields(v)))
+
+    def kinds(self, fields: Column) -> Column:
+        """Kinds of a record's fields by name, of those that the rules look at."""
+        names = ("schema_version", *self.texts, *self.objects, *self.lists, *self.values, *self.absent)
+        return F.transform_values(F.map_filter(fields, lambda k, _: k.isin(*names)), lambda _, x: F.coalesce(F.schema_of_variant(x), F.lit("VOID")))
+
+    def said(self, fields: Column) -> Column:
+        """Texts of a record's fields by name; null where a field is no string."""
+        names = ("schema_version", *self.texts, *self.values)
+        return F.transform_values(F.map_filter(fields, lambda k, _: k.isin(*names)), lambda _, x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
+
+    def broken(self, kinds: Column, said: Column) -> Column:
+        """The first broken rule by the columns ``kinds`` and ``said``: the rules look names up in two small maps, so that their code stays small enough to be compiled."""
+        kind = lambda name: F.coalesce(F.try_element_at(kinds, name), F.lit("MISSING"))
+        text = lambda name: F.try_element_at(said, name)
+        # over an array of names, so that a rule is one small expression however many fields it has
+        any_of = lambda names, bad: F.exists(F.array(*map(F.lit, names)), bad) if names else F.lit(False)
         needed = ("schema_version", *self.texts, *(n for n in self.objects + self.lists if n not in self.late))
         rules = [
-            (~F.coalesce(text("schema_version") == self.version, F.lit(False)), "unsupported_schema"), (any_of(kind(n) == "MISSING" for n in needed), "missing_fields"), (any_of(F.coalesce(text(n), F.lit("")) == "" for n in self.texts), "empty_text"),
-            (any_of(~kind(n).startswith("OBJECT") for n in self.objects), "not_an_object"), (any_of(~kind(n).startswith("ARRAY") for n in self.lists), "not_a_list"), (any_of(~F.coalesce(text(n).isin(*allowed), F.lit(False)) for n, allowed in self.values.items()), "bad_value"),
-            (any_of(kind(n) != "MISSING" for n in self.absent), "forbidden_field"),
+            (~F.coalesce(text(F.lit("schema_version")) == self.version, F.lit(False)), "unsupported_schema"), (any_of(needed, lambda n: kind(n) == "MISSING"), "missing_fields"), (any_of(self.texts, lambda n: F.coalesce(text(n), F.lit("")) == ""), "empty_text"),
+            (any_of(self.objects, lambda n: ~kind(n).startswith("OBJECT")), "not_an_object"), (any_of(self.lists, lambda n: ~kind(n).startswith("ARRAY")), "not_a_list"),
+            *((~F.coalesce(text(F.lit(n)).isin(*allowed), F.lit(False)), "bad_value") for n, allowed in self.values.items()), (any_of(self.absent, lambda n: kind(n) != "MISSING"), "forbidden_field"),
         ]
-        out = F.lit(None).cast("string")
-        for bad, code in reversed(rules):
-            out = F.when(bad, code).otherwise(out)
-        return out
+        return F.coalesce(*(F.when(bad, code) for bad, code in rules))
 
 
 OBSERVATION = Contract("gridlark.observation/v1", ("event_id", "session_id", "sensor_id", "observed_at", "protocol", "event_type"), objects=("capture",), late=("capture",), values={"data_classification": CLASSES}, absent=ANALYTIC_FIELDS)
@@ -81,10 +93,15 @@ def classification(v: Column) -> Column:
 
 def observation_of(v: Column, sensor_version: str, legacy: bool = False) -> Column:
     """The evidence of a mixed record, as a variant."""
+    return F.to_variant_object(_evidence(_fields(v), v, sensor_version, legacy))
+
+
+def _evidence(fields: Column, v: Column, sensor_version: str, legacy: bool) -> Column:
+    """The evidence of a mixed record, as a map of variants."""
     capture = f'{{"legacy_import":true,"sensor_version":"{sensor_version}"}}' if legacy else f'{{"sensor_version":"{sensor_version}"}}'
-    kept = F.map_filter(_fields(v), lambda k, _: ~k.isin(*ANALYTIC_FIELDS))
+    kept = F.map_filter(fields, lambda k, _: ~k.isin(*ANALYTIC_FIELDS))
     klass = F.when(classification(v) == "synthetic", _json('"synthetic"')).when(classification(v) == "sanitized_private", _json('"sanitized_private"')).otherwise(_json('"raw_private"'))
-    return F.to_variant_object(_with(kept, {"schema_version": _json(f'"{OBSERVATION.version}"'), "data_classification": klass, "capture": _json(capture)}))
+    return _with(kept, {"schema_version": _json(f'"{OBSERVATION.version}"'), "data_classification": klass, "capture": _json(capture)})
 
 
 LEGACY = "legacy-v0"
@@ -102,29 +119,33 @@ def migrated(lines: DataFrame) -> DataFrame:
     kind = F.when(F.col("v").isNull(), "malformed_json").when(~is_object, "record_not_object").when(schema == OBSERVATION.version, "observation").when(schema == ANALYSIS.version, "analysis").otherwise("legacy")
     one = one.withColumn("kind", kind)
     legacy = F.col("kind") == "legacy"
-    one = one.withColumn("o", F.when(legacy, observation_of(F.col("v"), LEGACY, legacy=True)))
-    one = one.withColumn("error", F.when(legacy, OBSERVATION.violation(F.col("o"))).when(F.col("kind").isin("malformed_json", "record_not_object"), F.col("kind")))
-    one = one.withColumn("o_text", F.when(F.col("error").isNull(), F.to_json("o")))
-    held = F.array_contains(F.array(*(F.map_contains_key(_fields(F.col("v")), name) for name in ANALYTIC_FIELDS)), True)
-    get = lambda name, other: F.coalesce(F.try_variant_get("v", f"$.{name}", "variant"), _json(other))
-    event_id = F.try_variant_get("o", "$.event_id", "string")
+    # each step is a column that several others read, so that it is worked out once
+    one = one.withColumn("fields", F.when(legacy, _fields(F.col("v"))))
+    one = one.withColumn("o", _evidence(F.col("fields"), F.col("v"), LEGACY, legacy=True))
+    one = one.withColumns({"kinds": OBSERVATION.kinds(F.col("o")), "said": OBSERVATION.said(F.col("o"))})
+    one = one.withColumn("error", F.when(legacy, OBSERVATION.broken(F.col("kinds"), F.col("said"))).when(F.col("kind").isin("malformed_json", "record_not_object"), F.col("kind")))
+    one = one.withColumn("o_text", F.when(F.col("error").isNull(), F.to_json(F.to_variant_object("o"))))
+    held = F.arrays_overlap(F.map_keys("fields"), F.array(*map(F.lit, ANALYTIC_FIELDS)))
+    get = lambda name, other: F.coalesce(F.try_element_at("fields", F.lit(name)), _json(other))
+    event_id = F.try_element_at("said", F.lit("event_id"))
     analysis = F.create_map(
         *(
             x for name, value in {
-                "schema_version": _json(f'"{ANALYSIS.version}"'), "analysis_id": _text(F.concat(F.lit("legacy-"), event_id)), "analysis_run_id": _json('"legacy-import-v0"'), "event_id": F.try_variant_get("o", "$.event_id", "variant"), "input_digest": _text(F.col("digest")),
-                "executed_at": F.try_variant_get("o", "$.observed_at", "variant"), "versions": _json(f'{{"mapper":"{LEGACY}","triage":"{LEGACY}","rule_catalog":"{LEGACY}"}}'), "attack_hypotheses": get("techniques", "[]"), "severity": get("severity", '"info"'),
+                "schema_version": _json(f'"{ANALYSIS.version}"'), "analysis_id": _text(F.concat(F.lit("legacy-"), event_id)), "analysis_run_id": _json('"legacy-import-v0"'), "event_id": F.try_element_at("o", F.lit("event_id")), "input_digest": _text(F.col("digest")),
+                "executed_at": F.try_element_at("o", F.lit("observed_at")), "versions": _json(f'{{"mapper":"{LEGACY}","triage":"{LEGACY}","rule_catalog":"{LEGACY}"}}'), "attack_hypotheses": get("techniques", "[]"), "severity": get("severity", '"info"'),
                 "triage": get("triage", "{}"), "detection_results": get("detection_results", "[]"), "evidence_completeness": _json("{}"),
             }.items() for x in (F.lit(name), value)
         )
     )
     one = one.withColumn("digest", canonical_digest(F.col("o_text")))
-    one = one.withColumn("a", F.when(legacy & F.col("error").isNull() & held, F.to_variant_object(analysis)))
-    error = F.coalesce("error", F.when(F.col("a").isNotNull(), ANALYSIS.violation(F.col("a"))))
+    one = one.withColumn("a", F.when(legacy & F.col("error").isNull() & held, analysis))
+    one = one.withColumns({"kinds": ANALYSIS.kinds(F.col("a")), "said": ANALYSIS.said(F.col("a"))})
+    error = F.coalesce("error", F.when(F.col("a").isNotNull(), ANALYSIS.broken(F.col("kinds"), F.col("said"))))
     one = one.select("line_no", "value", "kind", "o_text", "a", error.alias("error"))
     fine = F.col("error").isNull()
     return one.select(
         "line_no", F.when(fine, F.when(F.col("kind") == "observation", F.col("value")).otherwise(F.col("o_text"))).alias("observation"),
-        F.when(fine, F.when(F.col("kind") == "analysis", F.col("value")).otherwise(F.to_json("a"))).alias("analysis"), "error",
+        F.when(fine, F.when(F.col("kind") == "analysis", F.col("value")).otherwise(F.to_json(F.to_variant_object("a")))).alias("analysis"), "error",
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlark.functions import catalog as C
 from gridlark.functions import crypto, enrich
+from gridlark.session import tasks
 
 #: Function codes that the adapter deals to Modbus events by k % 10.
 FUNCTION_CODES = (1, 2, 3, 4, 5, 6, 15, 16, 43, 90)
@@ -15,9 +16,11 @@ FINGERPRINT_SECRET = b"synthetic-fingerprint-secret-0001"
 EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 
-def raw_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in the telemetry schema, before enrichment."""
+def raw_telemetry(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Events in the telemetry schema, before enrichment; dealt to all tasks when ``spread``, where a row means much work: a split of the file holds millions."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if spread:
+        events = events.repartition(tasks(spark), "event_id")
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("nation_key"), F.col("n_name").alias("source_country"))
     k, user = F.col("k"), F.col("user_id")
     m = F.col("event_id") % 25
@@ -55,9 +58,9 @@ def raw_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def telemetry(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Enriched events: techniques, severity, triage and completeness."""
-    t = raw_telemetry(spark, sf_dir)
+    t = raw_telemetry(spark, sf_dir, spread)
     found = enrich.evidence(*map(F.col, ("protocol", "event_type", "operation", "function_code", "signature")))
     t = t.select("*", *(c.alias(f"has_{name}") for name, c in found.items()))
     e = {name: F.col(f"has_{name}") for name in found}

@@ -29,6 +29,11 @@ def make_session(app: str = "gridlark", cores: int | str = "*", shuffle_partitio
     return builder.getOrCreate()
 
 
+def tasks(spark: SparkSession) -> int:
+    """As many tasks as the session has shuffle partitions: a number given to ``repartition`` isn't merged to fewer by size, as small rows with much work would be."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share; a local one in local runs where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

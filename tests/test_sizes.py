@@ -1,10 +1,16 @@
 """What large inputs need: names in order, keys by bucket, documents that aren't opened."""
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
-from gridlark.operators import gates, walk
+from gridlark.operators import contracts, gates, index, walk
+from gridlark.plans import gates as plan_gates
+from gridlark.plans import workspace
 from gridlark.plans.streams import telemetry_stream
+from gridlark.plans.telemetry import telemetry
+from gridlark.sources.commits import AnalysisLedger, table_digest
 from gridlark.sources.files import in_files
 from gridlark.sources.jsonl import read_lines
 from gridlark.streaming import keyed
@@ -52,3 +58,16 @@ def test_nesting_of_shallow_and_deep(spark):
     docs = spark.createDataFrame([(n, deep(n)) for n in (1, 3, 4, 5, 24, 40)] + [(0, '{"a":[[],{},[{}]],"b":{}}'), (-1, '"x"')], "n int, t string")
     got = {r.n: r.d for r in docs.select("n", walk.nesting(F.col("t")).alias("d")).collect()}
     assert got == {n: 2 * n for n in (1, 3, 4, 5, 24, 40)} | {0: 4, -1: 0}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_steps_of_a_migration_are_worked_out_once(spark):
+    lines = spark.createDataFrame([(1, '{"event_id":"a"}')], "line_no long, value string")
+    # a field of the rules' record isn't taken from the whole record anew for each rule
+    assert plan_of(contracts.migrated(lines)).count("variant_get") < 20
