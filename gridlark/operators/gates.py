@@ -76,17 +76,24 @@ _KINDS = ("is_demo", "decoded", "techniques", "tags", "sanitized")
 
 
 def with_fields(records: DataFrame) -> DataFrame:
-    """Adds for each field of the variant ``v`` its kind (k_...) and text (t_..., null unless a string): every field is looked up once."""
-    values = records.select("*", *(F.try_variant_get("v", f"$.{name}", "variant").alias(f"x_{name}") for name in _TEXTS + _KINDS))
-    kinds = values.select("*", *(F.coalesce(F.schema_of_variant(f"x_{name}"), F.lit("MISSING")).alias(f"k_{name}") for name in _TEXTS + _KINDS))
-    flags = [F.when(F.col(f"k_{name}") == "BOOLEAN", F.try_variant_get(f"x_{name}", "$", "boolean")).alias(f"b_{name}") for name in ("is_demo", "sanitized")]
-    texts = [F.when(F.col(f"k_{name}") == "STRING", F.try_variant_get(f"x_{name}", "$", "string")).alias(f"t_{name}") for name in _TEXTS]
-    return kinds.select("*", *texts, *flags).drop(*(f"x_{name}" for name in _TEXTS + _KINDS))
+    """Adds for the fields of the variant ``v`` their kinds and texts (null unless a string) by name, as two small maps: code for each field by itself grows too large to be compiled."""
+    held = records.select("*", F.map_filter(F.try_variant_get("v", "$", "map<string,variant>"), lambda k, _: k.isin(*_TEXTS, *_KINDS)).alias("x"))
+    kinds = held.withColumn("kinds", F.transform_values("x", lambda _, x: F.schema_of_variant(x)))
+    texts = F.transform_values(F.map_filter("x", lambda k, _: k.isin(*_TEXTS)), lambda k, x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
+    flag = lambda name: F.when(_at("kinds", name) == "BOOLEAN", F.try_variant_get(_at("x", name), "$", "boolean")).alias(f"b_{name}")
+    return kinds.withColumn("texts", texts).select("*", flag("is_demo"), flag("sanitized")).drop("x")
+
+
+def _at(fields: str, name: str) -> Column:
+    return F.try_element_at(F.col(fields), F.lit(name))
 
 
 def record_errors(keys: Column) -> Column:
-    """Sorted distinct error codes of one record, on the columns of ``with_fields`` and its top-level keys."""
-    text, kind = (lambda name: F.col(f"t_{name}")), (lambda name: F.col(f"k_{name}"))
+    """Sorted distinct error codes of one record as one text with commas, on the columns of ``with_fields`` and its top-level keys.
+
+    Text, not an array without its nulls: what is inside of a higher-order function isn't compiled.
+    """
+    text, kind = (lambda name: _at("texts", name)), (lambda name: F.coalesce(_at("kinds", name), F.lit("MISSING")))
     blank = lambda name: F.length(F.trim(F.coalesce(text(name), F.lit("")))) == 0
     observed = text("observed_at")
     # a time without an offset is rejected
@@ -97,7 +104,7 @@ def record_errors(keys: Column) -> Column:
     payload, hexed = kind("raw_payload_hex"), text("raw_payload_hex")
     rules = {
         "missing_required_fields": F.size(F.array_except(_strings(REQUIRED), keys)) > 0,
-        "unexpected_top_level_fields": F.size(F.array_except(keys, _strings(REQUIRED + OPTIONAL))) > 0,
+        "unexpected_top_level_fields": F.exists(keys, lambda k: ~k.isin(*REQUIRED, *OPTIONAL)),
         **{f"invalid_{name}": blank(name) for name in ("event_id", "session_id", "sensor_id", "severity")},
         "unsupported_protocol": ~F.coalesce(text("protocol").isin(*C.PROTOCOLS), F.lit(False)),
         "unsupported_event_type": ~F.coalesce(text("event_type").isin(*EVENT_TYPES), F.lit(False)),
@@ -112,7 +119,7 @@ def record_errors(keys: Column) -> Column:
         "missing_private_source_ip": ~clean & blank("source_ip"),
         "invalid_raw_payload": ~payload.isin("MISSING", "VOID") & ~((payload == "STRING") & F.coalesce((F.length(hexed) <= 1024) & hexed.rlike("^([0-9a-fA-F]{2})*$"), F.lit(False))),
     }
-    return F.array_sort(F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), code) for code, bad in rules.items()))))
+    return F.concat_ws(",", *(F.when(F.coalesce(bad, F.lit(False)), code) for code, bad in sorted(rules.items())))
 
 
 def inspect_lines(lines: DataFrame) -> DataFrame:
@@ -131,12 +138,15 @@ def inspect_lines(lines: DataFrame) -> DataFrame:
     one = one.withColumn("state", state)
     fine = F.col("state").isNull()
     only = lambda c: F.when(fine, F.col(c))
-    one = one.select("*", only("t_event_id").alias("event_id"), only("b_is_demo").alias("is_demo"), F.when(fine, F.coalesce("b_sanitized", F.lit(False))).alias("sanitized"))
+    one = one.select("*", F.when(fine, _at("texts", "event_id")).alias("event_id"), only("b_is_demo").alias("is_demo"), F.when(fine, F.coalesce("b_sanitized", F.lit(False))).alias("sanitized"))
     # duplicates are found by the first line of each id: counts combine before the shuffle, no sort of a hot id's rows
-    first = one.where("event_id is not null").groupBy(*files, "event_id").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n")).where("n > 1").drop("n")
-    own = F.when(fine, record_errors(F.col("keys"))).when(F.col("state") == "null", F.array().cast("array<string>")).otherwise(F.array("state"))
-    said = [only(f"t_{c}").alias(c) for c in ("observed_at", "protocol", "event_type")]
-    one = one.select(*files, "line_no", "event_id", own.alias("own"), "ended", "is_demo", "sanitized", *said).join(first, [*files, "event_id"], "left")
+    # (the key is never null, so no test of it is moved below the parsing, which would parse a line anew for each place that names it)
+    one = one.withColumn("id_key", F.struct("event_id", F.when(F.col("event_id").isNull(), F.col("line_no")).alias("alone")))
+    first = one.groupBy(*files, "id_key").agg(F.min("line_no").alias("first_line"), F.count("event_id").alias("n")).where("n > 1").drop("n")
+    one = one.withColumn("found", F.when(fine, record_errors(F.col("keys"))))
+    own = F.when(F.col("found") == "", F.array().cast("array<string>")).when(fine, F.split("found", ",")).when(F.col("state") == "null", F.array().cast("array<string>")).otherwise(F.array("state"))
+    said = [F.when(fine, _at("texts", c)).alias(c) for c in ("observed_at", "protocol", "event_type")]
+    one = one.select(*files, "line_no", "event_id", "id_key", own.alias("own"), "ended", "is_demo", "sanitized", *said).join(first, [*files, "id_key"], "left")
     more = F.array_compact(F.array(F.when(F.col("line_no") > F.col("first_line"), "duplicate_event_id"), F.when(~F.col("ended"), "incomplete_final_line")))
     codes = F.when(F.size(more) == 0, F.col("own")).otherwise(F.array_sort(F.concat("own", more)))
     return one.select(*files, "line_no", "event_id", codes.alias("codes"), "is_demo", "sanitized", "observed_at", "protocol", "event_type")

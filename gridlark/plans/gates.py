@@ -16,7 +16,7 @@ T = TELEMETRY_SQL
 
 def lines(spark, sf_dir):
     """One JSON line for each event. By seq % 40: 1 broken JSON, 2 a list, 3 no tags, 4 extra field, 5 naive time, 6 text flag, 7 bad payload, 8 blank session, 9 unknown protocol, 10 sanitized with an address; every 50th repeats the id before it."""
-    t = raw_telemetry(spark, sf_dir)
+    t = raw_telemetry(spark, sf_dir, spread=True)
     m = F.col("seq") % 40
     is_ = lambda n: m == n
     text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))

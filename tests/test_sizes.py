@@ -67,6 +67,13 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_line_is_parsed_once_for_its_codes_and_once_for_its_id(spark):
+    rows = [(1, '{"event_id":"a"}'), (2, "{"), (3, '{"event_id":"a"}'), (4, "{"), (5, '{"event_id":""}'), (6, '{"event_id":""}')]
+    found = gates.inspect_lines(spark.createDataFrame(rows, "line_no long, value string"))
+    assert plan_of(found).count("parseJson") == 2
+    assert [r.line_no for r in found.where(F.array_contains("codes", "duplicate_event_id")).orderBy("line_no").collect()] == [3, 6]
+
+
 def test_steps_of_a_migration_are_worked_out_once(spark):
     lines = spark.createDataFrame([(1, '{"event_id":"a"}')], "line_no long, value string")
     # a field of the rules' record isn't taken from the whole record anew for each rule
