@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridlark.operators import gates
 from gridlark.plans.registry import query
 from gridlark.plans.telemetry import TELEMETRY_SQL, raw_telemetry
-from gridlark.session import work_dir
+from gridlark.session import tasks, work_dir
 from gridlark.sources import jsonl
 
 T = TELEMETRY_SQL
@@ -57,7 +57,7 @@ def preflight_error_counts(spark, sf_dir):
 def written_lines(spark, sf_dir):
     """The lines as files in the shared folder, in order within each; a file for each range of lines."""
     folder = f"{work_dir(spark)}/handoff"
-    lines(spark, sf_dir).repartitionByRange(4, "line_no").sortWithinPartitions("line_no").select("value").write.text(folder)
+    lines(spark, sf_dir).repartitionByRange(tasks(spark), "line_no").sortWithinPartitions("line_no").select("value").write.text(folder)
     return folder
 
 
@@ -68,8 +68,10 @@ def handoff_line_numbers(spark, sf_dir):
     seq = F.coalesce(F.regexp_extract("value", '"session_id":"[^"]*-([0-9]+)"', 1).try_cast("long"), F.lit(-1))
     group = read.withColumn("grp", F.when(seq >= 0, seq))
     order = Window.partitionBy("file").orderBy("line_no")
-    checked = group.withColumn("before", F.max("grp").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("good", F.coalesce(F.col("grp") >= F.col("before"), F.lit(True)))
-    return checked.agg(F.count("*").alias("lines"), F.countDistinct("file", "line_no").alias("numbers"), F.bool_and("good").alias("in_order"))
+    # in order of their numbers, so a number is new where the one before differs: no set of all of them
+    fresh = ~F.col("line_no").eqNullSafe(F.lag("line_no").over(order))
+    checked = group.withColumns({"before": F.max("grp").over(order.rowsBetween(Window.unboundedPreceding, -1)), "fresh": fresh}).withColumn("good", F.coalesce(F.col("grp") >= F.col("before"), F.lit(True)))
+    return checked.agg(F.count("*").alias("lines"), F.count_if("fresh").alias("numbers"), F.bool_and("good").alias("in_order"))
 
 
 @query("handoff_error_counts", T + _CODES + "SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM c) WHERE code <> 'duplicate_event_id' GROUP BY code")

@@ -67,6 +67,16 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_heavy_rows_are_dealt_to_all_tasks(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert plan_gates.lines(spark, SF).rdd.getNumPartitions() == 7
+        assert telemetry(spark, SF, spread=True).rdd.getNumPartitions() == 7
+        assert len(spark.read.text(plan_gates.written_lines(spark, SF)).inputFiles()) == 7
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_a_line_is_parsed_once_for_its_codes_and_once_for_its_id(spark):
     rows = [(1, '{"event_id":"a"}'), (2, "{"), (3, '{"event_id":"a"}'), (4, "{"), (5, '{"event_id":""}'), (6, '{"event_id":""}')]
     found = gates.inspect_lines(spark.createDataFrame(rows, "line_no long, value string"))
