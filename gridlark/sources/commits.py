@@ -253,6 +253,10 @@ class AnalysisLedger:
         results = results.select(*self.COLUMNS)
         if batch in self.results_ledger.committed():
             return self.results_ledger.append_once(results.drop("versions", "schema_version"), batch)
+        # worked out once; all that follows reads these files, which no reader of the ledger sees
+        staged = f"{self.results_ledger.files.path}/staged/attempt-{uuid.uuid4().hex}"
+        results.write.mode("errorifexists").parquet(staged)
+        results = results.sparkSession.read.schema(results.schema).parquet(staged)
         known = self.results_ledger.read()
         twice = results.groupBy("analysis_id").agg(F.count("*").alias("n")).where("n > 1").select("analysis_id")
         if known is not None:

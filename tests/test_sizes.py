@@ -84,6 +84,14 @@ def test_a_line_is_parsed_once_for_its_codes_and_once_for_its_id(spark):
     assert [r.line_no for r in found.where(F.array_contains("codes", "duplicate_event_id")).orderBy("line_no").collect()] == [3, 6]
 
 
+def test_results_of_a_run_are_worked_out_once(spark, tmp_path):
+    name = F.udf(lambda: uuid.uuid4().hex).asNondeterministic()
+    rows = spark.range(3).select(*(F.col("id").cast("string").alias(c) for c in AnalysisLedger.COLUMNS[:-1]), name().alias("result"))
+    ledger = AnalysisLedger(spark, f"file://{tmp_path}/ledger")
+    ledger.record(rows, "b1")
+    assert table_digest(ledger.results()) == ledger.results_ledger.committed()["b1"]["content"]
+
+
 def test_steps_of_a_migration_are_worked_out_once(spark):
     lines = spark.createDataFrame([(1, '{"event_id":"a"}')], "line_no long, value string")
     # a field of the rules' record isn't taken from the whole record anew for each rule
