@@ -12,6 +12,7 @@ from gridlark.plans.dashboard import _GRID, _METRICS, POINTS
 from gridlark.plans.detection import PACK
 from gridlark.plans.registry import query
 from gridlark.plans.telemetry import TELEMETRY_SQL, VIEW_CONTROLS_SQL, raw_telemetry, telemetry
+from gridlark.session import work_dir
 from gridlark.sources import cases, foreign, jsonl
 from gridlark.sources.rules import read_pack
 
@@ -167,7 +168,7 @@ def report_counters(spark, sf_dir):
 
 def _fixtures(spark, sf_dir):
     """A fixture for each event, as JSON; by seq % 12: 1 broken, 2 without event, 3 two engines, 4 the id before it, 5 an expectation that doesn't hold, 6 no id."""
-    t = telemetry(spark, sf_dir)
+    t = telemetry(spark, sf_dir, spread=True)
     found = detection.predictions(t, read_pack(PACK)).groupBy("event_id").agg(*(F.array_sort(F.collect_set(F.when(F.lower("engine") == e, F.col("rule_id")))).alias(e) for e in cases.ENGINES))
     m = F.col("seq") % 12
     case_id = F.when(m == 6, F.lit(None).cast("string")).when(m == 4, F.concat(F.lit("evt-"), (F.col("seq") - 1).cast("string"))).otherwise(F.col("event_id"))
@@ -185,7 +186,10 @@ def fixture_errors(spark, sf_dir):
 @query("pack_findings", T + "SELECT 'mismatch' AS code, count(*) AS n FROM raw WHERE seq % 12 = 5 UNION ALL SELECT code, count(*) FROM (SELECT CASE seq % 12 WHEN 1 THEN 'invalid_json' WHEN 2 THEN 'event_not_object' WHEN 3 THEN 'expected_engines' WHEN 4 THEN 'duplicate_case_id' ELSE 'case_id_missing' END AS code FROM raw WHERE seq % 12 IN (1, 2, 3, 4, 6)) GROUP BY 1 UNION ALL SELECT 'unknown_rule', 1")
 def pack_findings(spark, sf_dir):
     """Everything wrong with the rule pack's fixtures; cases whose id or engines are at fault aren't matched by id here."""
-    lines = _fixtures(spark, sf_dir)
+    # made once: the checks read the lines many times over
+    path = f"{work_dir(spark)}/fixtures"
+    _fixtures(spark, sf_dir).write.parquet(path)
+    lines = spark.read.parquet(path)
     found = cases.pack_findings(lines.where("line_no % 12 not in (3, 4, 6)"), read_pack(PACK)).where("code <> 'no_positive_case'")
     rest = cases.fixture_errors(lines).where("code in ('expected_engines', 'duplicate_case_id', 'case_id_missing')").select("code", F.lit("").alias("subject"))
     return found.unionByName(rest).groupBy("code").agg(F.count("*").alias("n"))

@@ -84,6 +84,10 @@ def test_a_line_is_parsed_once_for_its_codes_and_once_for_its_id(spark):
     assert [r.line_no for r in found.where(F.array_contains("codes", "duplicate_event_id")).orderBy("line_no").collect()] == [3, 6]
 
 
+def test_fixtures_are_made_once(spark):
+    assert all("/fixtures/" in f for f in workspace.pack_findings(spark, SF).inputFiles())
+
+
 def test_results_of_a_run_are_worked_out_once(spark, tmp_path):
     name = F.udf(lambda: uuid.uuid4().hex).asNondeterministic()
     rows = spark.range(3).select(*(F.col("id").cast("string").alias(c) for c in AnalysisLedger.COLUMNS[:-1]), name().alias("result"))
