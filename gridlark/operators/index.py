@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from gridlark.functions import catalog as C
 from gridlark.functions import crypto
+from gridlark.session import tasks
 
 MIN_WINDOW, MAX_WINDOW = 60, 86_400
 
@@ -52,6 +53,9 @@ def merged_observations(t: DataFrame, window: int, keys: list[str] | None = None
     """
     window = max(MIN_WINDOW, min(MAX_WINDOW, window))
     keys = keys or ["fingerprint"]
+    names = [c for c in ("event_id", "session_id", "severity", "technique_ids", "techniques") if c in t.columns]
+    # rows of a few columns compress well: merged by their shuffled size, a task would get many times that in memory
+    t = t.select(*keys, "seq", "observed_epoch", *names).repartition(tasks(t.sparkSession), *keys)
     order = W.partitionBy(*keys).orderBy("seq")
     high = F.max("observed_epoch").over(order.rowsBetween(W.unboundedPreceding, -1))
     # the least later time as a running minimum from the end: a frame that reaches forward to the end is worked out anew for every row
@@ -60,7 +64,6 @@ def merged_observations(t: DataFrame, window: int, keys: list[str] | None = None
     marked = marked.withColumn("stretch", F.sum(F.when(F.col("low") - F.col("high") > window, 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0)))
     late = F.coalesce(F.bool_or(F.col("observed_epoch") < F.col("high")).over(W.partitionBy(*keys, "stretch")), F.lit(False))
     marked = marked.withColumn("late", late).drop("high")
-    names = [c for c in ("event_id", "session_id", "severity", "technique_ids", "techniques") if c in t.columns]
     marked = marked.select(*keys, "seq", "observed_epoch", *names, "stretch", "late", "low")
     ordered = marked.where("not late").drop("late", "low").withColumn("part", F.lit(0).cast("bigint"))
     by = [*keys, "stretch", "part"]
@@ -78,7 +81,8 @@ def _folded(late: DataFrame, keys: list[str], window: int) -> DataFrame:
     stretch of any length holds the rows open at a time, and an event costs a binary search.
     """
     by = [*keys, "stretch"]
-    spread = late.repartition(*by).sortWithinPartitions(*by, "seq")
+    # a key's rows are in one task already
+    spread = late.sortWithinPartitions(*by, "seq")
 
     def fold(frames):
         at, lasts, rows, made = None, [], [], 0

@@ -77,6 +77,12 @@ def test_heavy_rows_are_dealt_to_all_tasks(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_keys_of_merged_observations_stay_in_a_number_of_tasks(spark):
+    t = spark.createDataFrame([("a", k, 100 * k, str(k)) for k in range(5)], "fingerprint string, seq long, observed_epoch long, event_id string")
+    merged = index.merged_observations(t, 1800)
+    assert "REPARTITION_BY_NUM" in merged._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_line_is_parsed_once_for_its_codes_and_once_for_its_id(spark):
     rows = [(1, '{"event_id":"a"}'), (2, "{"), (3, '{"event_id":"a"}'), (4, "{"), (5, '{"event_id":""}'), (6, '{"event_id":""}')]
     found = gates.inspect_lines(spark.createDataFrame(rows, "line_no long, value string"))
