@@ -40,7 +40,11 @@ def with_fingerprint(t: DataFrame, secret: bytes) -> DataFrame:
     return t.withColumn("fingerprint", crypto.fingerprint(F.col("source_ip"), F.col("protocol"), F.col("payload"), secret))
 
 
-def merged_observations(t: DataFrame, window: int, keys: list[str] | None = None) -> DataFrame:
+#: Events of a task, where their number is known: a task holds them several times, in different orders.
+EVENTS_OF_TASK = 50_000
+
+
+def merged_observations(t: DataFrame, window: int, keys: list[str] | None = None, events: int = 0) -> DataFrame:
     """Observations of a key at most ``window`` seconds apart become one (the border counts as inside), in order of arrival (seq).
 
     An event joins the merged row of its key whose last time is the latest one within ``window`` seconds before
@@ -49,13 +53,13 @@ def merged_observations(t: DataFrame, window: int, keys: list[str] | None = None
 
     Arrivals fall into stretches: a cut is where all later times lie more than ``window`` after all earlier ones.
     Stretches with times in order are one row each, by aggregates alone; the others are folded, as sorted
-    streams that hold one key's last times.
+    streams that hold one key's last times. ``events`` is their number, if known: keys are dealt to more tasks for more of them.
     """
     window = max(MIN_WINDOW, min(MAX_WINDOW, window))
     keys = keys or ["fingerprint"]
     names = [c for c in ("event_id", "session_id", "severity", "technique_ids", "techniques") if c in t.columns]
     # rows of a few columns compress well: merged by their shuffled size, a task would get many times that in memory
-    t = t.select(*keys, "seq", "observed_epoch", *names).repartition(tasks(t.sparkSession), *keys)
+    t = t.select(*keys, "seq", "observed_epoch", *names).repartition(max(tasks(t.sparkSession), -(-events // EVENTS_OF_TASK)), *keys)
     order = W.partitionBy(*keys).orderBy("seq")
     high = F.max("observed_epoch").over(order.rowsBetween(W.unboundedPreceding, -1))
     # the least later time as a running minimum from the end: a frame that reaches forward to the end is worked out anew for every row

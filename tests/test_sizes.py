@@ -81,6 +81,8 @@ def test_keys_of_merged_observations_stay_in_a_number_of_tasks(spark):
     t = spark.createDataFrame([("a", k, 100 * k, str(k)) for k in range(5)], "fingerprint string, seq long, observed_epoch long, event_id string")
     merged = index.merged_observations(t, 1800)
     assert "REPARTITION_BY_NUM" in merged._jdf.queryExecution().executedPlan().toString()
+    many = index.merged_observations(t, 1800, events=10 * index.EVENTS_OF_TASK - 1)
+    assert ", 10), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
 
 
 def test_a_line_is_parsed_once_for_its_codes_and_once_for_its_id(spark):
