@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridlark.functions import catalog as C
 from gridlark.operators.stix import PRIVATE, PRODUCER, PROJECT_NAMESPACE, PUBLIC, object_id, quoted
+from gridlark.session import staged, work_dir
 from gridlark.sources.commits import table_digest
 
 #: Decoded fields that may leave, and when objects of the catalog were made.
@@ -103,14 +104,18 @@ def identity_id() -> Column:
     return object_id("identity", F.lit(f'"{PRODUCER}"'))
 
 
-def bundle_objects(events: DataFrame, profile: str = PUBLIC) -> DataFrame:
-    """(number, type, id, value) of every object, numbered from 0 by type and id. No event is an error of the caller: the bundle then holds the producer alone."""
-    return _numbered(bundle_parts(events, profile))
+def bundle_objects(events: DataFrame, profile: str = PUBLIC, folder: str | None = None) -> DataFrame:
+    """(number, type, id, value) of every object, numbered from 0 by type and id. No event is an error of the caller: the bundle then holds the producer alone.
 
+    Objects are written to ``folder`` (else a new one) once, before they are counted and placed.
+    """
+    folder = folder or work_dir(events.sparkSession)
+    return _numbered(staged(bundle_parts(events, profile, folder), f"{folder}/parts"))
 
-def bundle_parts(events: DataFrame, profile: str = PUBLIC) -> DataFrame:
-    """(type, id, value) of every object, each once, without an order."""
-    e = prepared(events, profile)
+
+def bundle_parts(events: DataFrame, profile: str = PUBLIC, folder: str | None = None) -> DataFrame:
+    """(type, id, value) of every object, each once, without an order. All kinds are made of one table in ``folder`` (else a new one), so an event's ids are worked out once."""
+    e = staged(prepared(events, profile).drop("payload", "payload_hex"), f"{folder or work_dir(events.sparkSession)}/prepared")
     lit, col = F.lit, F.col
     label = F.when(col("is_demo"), "synthetic").otherwise("live")
     # what many events share is made distinct by its fields, which its id stands for; texts are made of the few that are left

@@ -179,9 +179,11 @@ def finalize(spark: SparkSession, path: str, folder: str, *, fingerprint_secret:
         raise ValueError("; ".join(found))
     commit.file("private_navigator_layer.json", layer)
     if approve_public:
+        # what isn't named in the manifest counts for no reader
+        working = f"{commit.files.path}/{commit.attempt}/working"
         commit.file("aggregate_summary_candidate.json", canonical_json(report.summary(events)))
-        objects = commit.table("public_graph_candidate", bundle.bundle_objects(events, stix.PUBLIC))
-        found = walk.bundle_findings(objects.select("number", "value")).orderBy("number", "place").limit(10).collect()
+        objects = commit.table("public_graph_candidate", bundle.bundle_objects(events, stix.PUBLIC, f"{working}/bundle"))
+        found = walk.bundle_findings(objects.select("number", "value"), f"{working}/bundle").orderBy("number", "place").limit(10).collect()
         if found:
             raise walk.PublicationError([r.message for r in found])
     step("exported")

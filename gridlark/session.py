@@ -6,7 +6,7 @@ import os
 import re
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def make_session(app: str = "gridlark", cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -42,3 +42,9 @@ def work_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file:///tmp/gridlark-streams"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """The rows of ``df`` from Parquet files at ``path``, which mustn't be there yet: worked out once, however often they are read."""
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
-from gridlark.operators import contracts, gates, index, walk
+from gridlark.operators import bundle, contracts, gates, index, walk
 from gridlark.plans import gates as plan_gates
 from gridlark.plans import workspace
 from gridlark.plans.streams import telemetry_stream
@@ -108,3 +108,20 @@ def test_steps_of_a_migration_are_worked_out_once(spark):
     lines = spark.createDataFrame([(1, '{"event_id":"a"}')], "line_no long, value string")
     # a field of the rules' record isn't taken from the whole record anew for each rule
     assert plan_of(contracts.migrated(lines)).count("variant_get") < 20
+
+
+def test_an_event_is_prepared_once_for_all_objects(spark):
+    events = telemetry(spark, SF).withColumns({"observed_at": F.timestamp_seconds("observed_epoch"), "is_demo": F.lit(True)})
+    plan = plan_of(bundle.bundle_parts(events))
+    # all kinds of objects are made of the written table, and the numbered ones of written objects
+    assert "get_json_object" not in plan
+    assert "to_json" not in plan_of(bundle.bundle_objects(events))
+
+
+def test_only_unclear_objects_are_walked(spark, tmp_path):
+    clean = [f'{{"type":"x","n":[{k}]}}' for k in range(50)]
+    odd = ['{"type":"x","a":"10.0.0.1"}', '{"type":"x","\\u0070ayload":1}', '{"typ":1,"a":{}}', "[]", "{", '{"type":"x","a":' + "[" * 60 + "]" * 60 + "}", '{"type":"x","Api":{"KEY":1},"api key":2}', '{"type":"x","a":"\\u0031\\u0030.0.0.1"}', None]
+    objects = spark.createDataFrame(list(enumerate([*odd, *clean])), "number long, value string")
+    found = {(r.number, r.code) for r in walk.bundle_findings(objects, f"file://{tmp_path}/gate").collect()}
+    assert found == {(0, "address_found"), (1, "forbidden_field"), (2, "not_an_object"), (3, "not_an_object"), (4, "not_an_object"), (5, "nested_too_deep"), (6, "forbidden_field"), (7, "address_found"), (8, "not_an_object")}
+    assert spark.read.parquet(f"file://{tmp_path}/gate/unclear").count() == len(odd)
